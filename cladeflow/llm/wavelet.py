@@ -43,11 +43,12 @@ class Shard:
         seq = tokens.astype(np.uint16 if levels <= 16 else np.uint32)
         planes, zeros = [], []
         for b in range(levels - 1, -1, -1):
-            bit = ((seq >> b) & 1).astype(bool)
+            bit = (seq & seq.dtype.type(1 << b)) != 0
             planes.append(np.packbits(bit))
-            zero = seq[~bit]
+            # taking by places is thrice as fast as by a mask
+            zero = seq.take(np.flatnonzero(~bit))
             zeros.append(len(zero))
-            seq = np.concatenate([zero, seq[bit]])
+            seq = np.concatenate([zero, seq.take(np.flatnonzero(bit))])
         return cls(len(tokens), planes, zeros, ids, known, lengths)
 
     def to_bytes(self) -> Iterator[bytes]:
@@ -90,8 +91,8 @@ class Shard:
         for b, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit = np.unpackbits(plane, count=self.n).view(bool)
             out = np.empty(self.n, kind)
-            out[~bit] = seq[:z]
-            out[bit] = seq[z:] | kind(1 << b)
+            out[np.flatnonzero(~bit)] = seq[:z]
+            out[np.flatnonzero(bit)] = seq[z:] | kind(1 << b)
             seq = out
         return seq.astype(np.uint32)
 
