@@ -8,7 +8,10 @@ import importlib
 NAMES = {
     "op2_token_ids": "wavelet",
     "op3_best_fit_packing": "packing",
+    "op4_quality_rules": "quality_rules",
     "op5_sentence_pieces": "sentence_pieces",
+    "op6_nearest_neighbours": "neighbours",
+    "op7_license_scan": "licenses",
     "op8_warc": "warc",
 }
 
@@ -18,4 +21,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from cladeflow.llm import licenses, quality_rules
+
+    return {"op4_quality_rules": quality_rules.ORACLE, "op7_license_scan": licenses.ORACLE}
