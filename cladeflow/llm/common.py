@@ -74,9 +74,9 @@ def pieces_of(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20) -> It
 class Words:
     """Words of many texts at once: starts, ends, 64-bit hashes, and how many each text has."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE):
         low = LOWER[raw]
-        space = IS_SPACE[raw]
+        space = apart[raw]
         begins, ends = ~space, ~space
         if len(raw):
             inner = space[:-1].copy()
@@ -88,14 +88,18 @@ class Words:
             ends[last] = ~space[last]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
-        up, down = powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE_WORD[low] * up[: len(raw)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        up, self._down = powers(len(raw) + 1)
+        self._sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTE_WORD[low] * up[: len(raw)], out=self._sums[1:])
+        self.hash = self.span_hash(self.start, self.end)
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.low = low
 
+    def span_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the lower-cased bytes [a, b)."""
+        return mix((self._sums[b] - self._sums[a]) * self._down[a])
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word windows and each text's offsets into them; fewer words make one window."""
         n = np.maximum(self.count - k + 1, (self.count > 0).astype(self.count.dtype))

@@ -13,6 +13,8 @@ NAMES = {
     "op6_nearest_neighbours": "neighbours",
     "op7_license_scan": "licenses",
     "op8_warc": "warc",
+    "op9_quality_classifier": "quality_classifier",
+    "op10_toxicity": "toxicity",
 }
 
 
