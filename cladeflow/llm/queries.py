@@ -6,6 +6,7 @@ import importlib
 
 #: Module, and the function that is the query of the same name.
 NAMES = {
+    "op1_ngram_jaccard": "jaccard_join",
     "op2_token_ids": "wavelet",
     "op3_best_fit_packing": "packing",
     "op4_quality_rules": "quality_rules",
