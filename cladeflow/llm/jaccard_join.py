@@ -24,7 +24,7 @@ from cladeflow.llm import common
 from cladeflow.runtime import materialize, ship, table
 
 #: Most rows that a broadcast side may have; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def sets_of(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -39,6 +39,38 @@ def set_id(s: np.ndarray) -> int:
     return int(common.mix(h).view(np.int64)[0])
 
 
+def level(n: np.ndarray | int):
+    """Bits of a sketch: the power of two from the set's size on, 256 to 16384."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 256, 16384)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of a set's members in each of level(n) places: sketches differ in no more places than sets do."""
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (int(level(len(s))) - 1), minlength=int(level(len(s)))) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def folded(sketches: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of 64-bit words at this level; a sketch of twice the level folds onto it by parity."""
+    rows = [np.frombuffer(x, np.uint64) for x in sketches]
+    return np.stack([r if len(r) * 64 == bits else r.reshape(-1, bits // 64)[0] ^ r.reshape(-1, bits // 64)[1] for r in rows])
+
+
+def apart(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The most members in which similar sets of these sizes can differ."""
+    both = -(-num * (na + nb) // (den + num))
+    return na + nb - 2 * both
+
+
+def near(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether sketches x[i] and y[j] differ in so many places at most, in slices of bounded size."""
+    out, step = np.zeros(len(i), bool), max(1, (1 << 21) // max(1, x.shape[1]))
+    for a in range(0, len(i), step):
+        s = slice(a, a + step)
+        out[s] = np.bitwise_count(x[i[s]] ^ y[j[s]]).sum(1, dtype=np.int64) <= most[s]
+    return out
+
+
 def common_shingles(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """At most `most` of the commonest shingles and about how many texts have each: the tail of the global order.
 
@@ -72,12 +104,13 @@ def common_shingles(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.
     return token[order], n[order]
 
 
-ROWS = "doc_id long, sid long, n int, token long, pos int"
+ROWS = "doc_id long, sid long, n int, token long, pos int, bits binary"
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, tail: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """A row for each text (pos -1), and one for each list entry of each set that a task meets first."""
     often, weight = tail
+    names = ["doc_id", "sid", "n", "token", "pos", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -87,7 +120,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, tail: tuple[np.ndarr
                 ids = [set_id(s) if len(s) else None for s in sets]
                 sizes = np.array([len(s) for s in sets], np.int32)
                 none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes), none, pa.array(np.full(len(sets), -1, np.int32))], names=["doc_id", "sid", "n", "token", "pos"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes), none, pa.array(np.full(len(sets), -1, np.int32)), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=names)
                 new = [j for j, (i, d) in enumerate(zip(ids, b.column("doc_id").is_valid().to_pylist(), strict=True)) if d and i is not None and not (i in known or known.add(i))]
                 if len(known) > 1_000_000:
                     known.clear()
@@ -107,8 +140,8 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, tail: tuple[np.ndarr
                 total = int(count.sum())
                 pos = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(total, pa.int64()), pa.array(np.repeat(np.array([ids[j] for j in new], np.int64), count)), pa.array(np.repeat(sizes[new], count)), pa.array(np.concatenate(heads).view(np.int64)), pa.array(pos.astype(np.int32))],
-                    names=["doc_id", "sid", "n", "token", "pos"],
+                    [pa.nulls(total, pa.int64()), pa.array(np.repeat(np.array([ids[j] for j in new], np.int64), count)), pa.array(np.repeat(sizes[new], count)), pa.array(np.concatenate(heads).view(np.int64)), pa.array(pos.astype(np.int32)), pa.nulls(total, pa.binary())],
+                    names=names,
                 )
 
     return docs.mapInArrow(run, ROWS)
@@ -194,55 +227,76 @@ def first_answers(entries: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int")
 
 
+def open_pairs(pos, n, sid, comp, bits, num: int, den: int, all_pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of one list: pairs of sets of different components that positions and sketches leave possible.
+
+    Without all_pairs, each set's pairs come down to that with the least set."""
+    levels = level(n)
+    for bit in np.unique(levels).tolist():
+        x = np.flatnonzero(levels == bit)
+        y = np.flatnonzero((levels == bit) | (levels == 2 * bit))
+        wide = folded(bits[y], bit)
+        row_of = np.searchsorted(y, x)
+        step = max(1, (1 << 21) // max(1, len(y)))
+        for a in range(0, len(x), step):
+            part = x[a : a + step]
+            ok = (comp[part][:, None] != comp[y][None]) & reach(n[part][:, None], pos[part][:, None], n[y][None], pos[y][None], num, den)
+            i, j = np.nonzero(ok)
+            # within a level each pair once
+            once = (levels[y[j]] != bit) | (part[i] < y[j])
+            i, j = i[once], j[once]
+            good = near(wide, wide, row_of[a + i], j, apart(n[part[i]], n[y[j]], num, den))
+            u, v = part[i[good]], y[j[good]]
+            if not all_pairs and len(u):
+                u, v = np.concatenate([u, v]), np.concatenate([v, u])
+                order = np.lexsort((sid[v], u))
+                u, v = u[order], v[order]
+                first = np.concatenate([[True], u[1:] != u[:-1]])
+                u, v = u[first], v[first]
+            if len(u):
+                yield np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v])
+
+
 def later_answers(lists: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
-    """Pairs of sets of different components in one list: with each other component's least compatible set, or all."""
+    """Pairs (a, b) of sets of different components that share a list and may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: set[tuple[int, int]] = set()
         for r in runs(batches):
-            t, pos, n, sid, comp = r["token"], r["pos"].astype(np.int64), r["n"].astype(np.int64), r["sid"], r["comp"]
+            t, pos, n = r["token"], r["pos"].astype(np.int64), r["n"].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            pairs: set[tuple[int, int]] = set()
-            for a, z in zip(first.tolist(), np.append(first, len(t))[1:].tolist(), strict=True):
-                names = np.unique(comp[a:z])
-                if len(names) < 2:
-                    continue  # what is linked already needs no answer
-                order = a + np.argsort(comp[a:z], kind="stable")
-                c, p, m, s = comp[order], pos[order], n[order], sid[order]
-                begin = np.searchsorted(c, names)
-                for k, (lo, hi) in enumerate(zip(begin.tolist(), np.append(begin, len(c))[1:].tolist(), strict=True)):
-                    for x in range(lo, hi, 1024):
-                        y = min(x + 1024, hi)
-                        if all_pairs:
-                            ok = reach(m[x:y, None], p[x:y, None], m[None, hi:], p[None, hi:], num, den)
-                            i, j = np.nonzero(ok)
-                            pairs.update((min(u, v), max(u, v)) for u, v in zip(s[x + i].tolist(), s[hi + j].tolist(), strict=True))
-                            continue
-                        for q, (lo2, hi2) in enumerate(zip(begin.tolist(), np.append(begin, len(c))[1:].tolist(), strict=True)):
-                            if q != k:
-                                ok = reach(m[x:y, None], p[x:y, None], m[None, lo2:hi2], p[None, lo2:hi2], num, den)
-                                best = np.where(ok, s[None, lo2:hi2], np.iinfo(np.int64).max).min(1)
-                                hit = np.flatnonzero(ok.any(1))
-                                pairs.update((min(u, v), max(u, v)) for u, v in zip(s[x + hit].tolist(), best[hit].tolist(), strict=True))
-                if len(pairs) > 100_000:
-                    pairs -= asked
-                    asked |= pairs if len(asked) < 500_000 else set()
-                    yield pack(pairs)
-                    pairs = set()
-            pairs -= asked
-            asked |= pairs if len(asked) < 500_000 else set()
-            if pairs:
-                yield pack(pairs)
-
-    def pack(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            found = [
+                pair
+                for a, z in zip(first.tolist(), np.append(first, len(t))[1:].tolist(), strict=True)
+                for pair in open_pairs(pos[a:z], n[a:z], r["sid"][a:z], r["comp"][a:z], r["bits"][a:z], num, den, all_pairs)
+            ]
+            if found:
+                both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lists.select("token", "pos", "n", "sid", "comp").repartition(parts, "token").sortWithinPartitions("token", "pos", "n", "sid")
+    dealt = lists.select("token", "pos", "n", "sid", "comp", "bits").repartition(parts, "token").sortWithinPartitions("token", "pos", "n", "sid")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sketches leave them possible."""
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            ba, bb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ba", "bb"))
+            most, ok = apart(na, nb, num, den), np.zeros(len(na), bool)
+            low = np.minimum(level(na), level(nb))
+            for bit in np.unique(low).tolist():
+                at = np.flatnonzero(low == bit)
+                ok[at] = near(folded(ba[at], bit), folded(bb[at], bit), np.arange(len(at)), np.arange(len(at)), most[at])
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
+
+
 def texts_of(docs: DataFrame, reps: DataFrame, sids: DataFrame, k: int) -> DataFrame:
     """One text for each named set (sid, text). The ids are broadcast if few; else both sides shuffle."""
     want = materialize(sids.join(reps, "sid").select(F.col("rep").alias("doc_id"), F.col("sid").alias("want")), "wanted")
@@ -314,13 +368,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(rows, k, num, den, common_shingles(rows, k, tail)), "signatures")
-    own = signed.where("pos < 0").select("doc_id", "sid", "n")
-    reps = materialize(own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
+    own = signed.where("pos < 0").select("doc_id", "sid", "n", "bits")
+    reps = materialize(own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
     answers = materialize(first_answers(signed.where("pos >= 0"), num, den), "answers")
     entries = answers.where("b is null").select("token", "pos", "n", F.col("a").alias("sid"))
     done = None
     comp: DataFrame | None = None
-    pairs = materialize(answers.where("b is not null").select("a", "b").distinct(), "pairs")
+    pairs = materialize(screened(answers.where("b is not null").select("a", "b").distinct(), reps, num, den), "pairs")
     for turn in range(3):
         if not pairs.limit(1).count():
             if turn == 2:
@@ -341,11 +395,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         else:
             lists = entries.withColumn("comp", F.col("sid"))
         entries = materialize(lists.select("token", "pos", "n", "sid", "comp"), "lists")
-        more = later_answers(entries, num, den, all_pairs=turn == 1).distinct()
+        more = later_answers(entries.join(reps.select("sid", "bits"), "sid"), num, den, all_pairs=turn == 1).distinct()
         if done is not None:
             more = more.join(done, ["a", "b"], "left_anti")
         pairs = materialize(more, "pairs")
         entries = entries.drop("comp")
+    reps = reps.select("sid", "rep", "copies")
     named = reps.withColumn("comp", F.col("sid")) if comp is None else reps.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = materialize(named, "named")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
@@ -353,7 +408,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # a set that a third of the rows share: its rows are dealt by salt, and the sets' small side to every salt
     salts = 8
     right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    left = own.select("doc_id", "sid", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     out = left.join(right, ["sid", "salt"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
