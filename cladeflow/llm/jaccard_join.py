@@ -64,7 +64,7 @@ def apart(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def near(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Whether sketches x[i] and y[j] differ in so many places at most, in slices of bounded size."""
-    out, step = np.zeros(len(i), bool), max(1, (1 << 21) // max(1, x.shape[1]))
+    out, step = np.zeros(len(i), bool), max(1, (1 << 19) // max(1, x.shape[1]))
     for a in range(0, len(i), step):
         s = slice(a, a + step)
         out[s] = np.bitwise_count(x[i[s]] ^ y[j[s]]).sum(1, dtype=np.int64) <= most[s]
@@ -88,7 +88,7 @@ def common_shingles(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
-            for b in common.pieces_of(batch, "text"):
+            for b in common.pieces_of(batch, "text", 1 << 20):
                 held += sets_of(*common.text_bytes(b.column("text")), k)
                 size += sum(map(len, held[-b.num_rows :]))
                 if size > 3_000_000:
@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, tail: tuple[np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            for b in common.pieces_of(batch, "text"):
+            for b in common.pieces_of(batch, "text", 1 << 20):
                 sets = sets_of(*common.text_bytes(b.column("text")), k)
                 ids = [set_id(s) if len(s) else None for s in sets]
                 sizes = np.array([len(s) for s in sets], np.int32)
@@ -237,7 +237,7 @@ def open_pairs(pos, n, sid, comp, bits, num: int, den: int, all_pairs: bool) ->
         y = np.flatnonzero((levels == bit) | (levels == 2 * bit))
         wide = folded(bits[y], bit)
         row_of = np.searchsorted(y, x)
-        step = max(1, (1 << 21) // max(1, len(y)))
+        step = max(1, (1 << 20) // max(1, len(y)))
         for a in range(0, len(x), step):
             part = x[a : a + step]
             ok = (comp[part][:, None] != comp[y][None]) & reach(n[part][:, None], pos[part][:, None], n[y][None], pos[y][None], num, den)
@@ -305,7 +305,7 @@ def texts_of(docs: DataFrame, reps: DataFrame, sids: DataFrame, k: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in common.pieces_of(batch, "text"):
+            for b in common.pieces_of(batch, "text", 1 << 20):
                 # an id can come with several texts: the set decides
                 ids = np.array([set_id(s) if len(s) else 0 for s in sets_of(*common.text_bytes(b.column("text")), k)], np.int64)
                 same = pa.array(ids == b.column("want").to_numpy())
