@@ -175,5 +175,5 @@ def newick(df: DataFrame, tax: Taxonomy, col: str, ranks: tuple[str, ...] = RANK
         name = F.get("path", F.lit(depth - 1))
         done = here.groupBy("path").agg(F.max("text").alias("text")).select(F.slice("path", F.lit(1), F.lit(depth - 1)).alias("path"), F.concat(F.col("text"), name).alias("text"))
         up = done.groupBy("path").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list("text")), ","), F.lit(")")).alias("text"))
-        level = rest.unionByName(up)
+        level = materialize(rest.unionByName(up), "newick")  # a row for each node at most
     return level.agg(F.concat(F.coalesce(F.max("text"), F.lit("()")), F.lit(";")).alias("newick"))
