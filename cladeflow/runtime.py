@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -22,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application (they may not share the driver's path)."""
+    # a batch of texts is held by the JVM and by Python at once: bound it by bytes, not by rows alone
+    for key, most in (("maxRecordsPerBatch", 4000), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = re.match(r"\d+", spark.conf.get(name, "0"))[0]
+        if not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
