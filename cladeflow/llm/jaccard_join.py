@@ -91,7 +91,7 @@ def common_shingles(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.
             for b in common.pieces_of(batch, "text", 1 << 20):
                 held += sets_of(*common.text_bytes(b.column("text")), k)
                 size += sum(map(len, held[-b.num_rows :]))
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield close()
                     held, size = [], 0
         if held:
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, tail: tuple[np.ndarr
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes), none, pa.array(np.full(len(sets), -1, np.int32)), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=names)
                 new = [j for j, (i, d) in enumerate(zip(ids, b.column("doc_id").is_valid().to_pylist(), strict=True)) if d and i is not None and not (i in known or known.add(i))]
-                if len(known) > 1_000_000:
+                if len(known) > 200_000:
                     known.clear()
                 if not new:
                     continue
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, tail: tuple[np.ndarr
     return docs.mapInArrow(run, ROWS)
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+def runs(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[dict[str, np.ndarray]]:
     """Sorted rows in portions that never part a token's list; a list is held whole, as some 30 bytes an entry."""
     held: list[dict[str, np.ndarray]] = []
     for b in batches:
@@ -160,8 +160,10 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
             continue
         cut = int(np.searchsorted(cols["token"], last))
         done = [*held, {n: x[:cut] for n, x in cols.items()}]
-        if sum(len(x["token"]) for x in done):
-            yield {n: np.concatenate([x[n] for x in done]) for n in cols}
+        if sum(len(x["token"]) for x in done) < least:
+            held.append(cols)
+            continue
+        yield {n: np.concatenate([x[n] for x in done]) for n in cols}
         held = [{n: x[cut:] for n, x in cols.items()}]
     if held:
         yield {n: np.concatenate([x[n] for x in held]) for n in held[0]}
@@ -215,7 +217,9 @@ def first_answers(entries: DataFrame, num: int, den: int) -> DataFrame:
                     keep.append(np.arange(a, a + m))
             at = np.concatenate(keep)
             pairs -= asked
-            asked = asked | pairs if len(asked) < 500_000 else pairs
+            if len(asked) > 50_000:
+                asked.clear()
+            asked |= pairs
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.nulls(len(at), pa.int64()), pa.array(t[at]), pa.array(n[at].astype(np.int32)), pa.array(pos[at].astype(np.int32))], schema=PAIRS)
             if pairs:
