@@ -26,7 +26,7 @@ def ship(spark: SparkSession) -> None:
     # a batch of texts is held by the JVM and by Python at once: bound it by bytes, not by rows alone
     for key, most in (("maxRecordsPerBatch", 4000), ("maxBytesPerBatch", 8 << 20)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = re.match(r"\d+", spark.conf.get(name, "0"))[0]
+        now = re.match(r"\d+", spark.conf.get(name))[0]
         if not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
     app = spark.sparkContext.applicationId
