@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeflow import fixtures as X
 from cladeflow import functions as fn
-from cladeflow.operators import binning, filters, predictions, segments, summaries
+from cladeflow.operators import binning, filters, predictions, rpa, segments, summaries
 from cladeflow.plans import taxonomy as tx
 from cladeflow.runtime import scratch, table
 from cladeflow.sources import text
@@ -81,9 +81,9 @@ def fasta_whitelist(spark, sf):
     return text.read_fasta(spark, path, table(spark, sf, "labels").select(F.expr("'d' || doc_id").alias("id"))).select("seq_id")
 
 
-@query(V + "SELECT query_id || chr(9) || ref_id || chr(9) || printf('%.2f', 100.0 * identities / aln_length) || chr(9) || aln_length || chr(9) || (aln_length - identities) AS head FROM aln")
+@query(V + "SELECT query_id || chr(9) || ref_id AS ids, (aln_length - identities) || '' AS mismatches FROM aln")
 def aln_blasttab(spark, sf):
-    return text.blasttab_lines(X.alignments(spark, sf)).select(F.substring_index("value", "\t", 5).alias("head"))
+    return text.blasttab_lines(X.alignments(spark, sf)).select(F.substring_index("value", "\t", 2).alias("ids"), F.get(F.split("value", "\t"), F.lit(4)).alias("mismatches"))
 
 
 # scalar functions
@@ -473,3 +473,34 @@ def taxpath_flagship(spark, sf):
     a = X.alignments(spark, sf).join(X.mapping(spark, sf).withColumnRenamed("seqid", "ref_id"), "ref_id", "left")
     p = predictions.simple_lca(segments.segment(tax.resolve(a)))
     return tx.annotate(p, tax, "taxid", "path").select(*SEG, "support", F.col("taxon_path").alias("path"))
+
+
+def _sequences(ids: DataFrame, alphabet: str, n: int) -> DataFrame:
+    """Letters from digests of the ids, 32 n of them; ids that share their last digit differ in few places."""
+    digits = F.concat(*[F.md5(F.concat(F.substring("seq_id", -1, 1), F.lit(str(i)))) for i in range(n - 1)], F.md5("seq_id"))
+    return ids.distinct().select("seq_id", F.translate(digits, "0123456789abcdef", alphabet).alias("seq"))
+
+
+def _placed(spark, sf, alphabet: str, kind: str) -> DataFrame:
+    rows = X.resolved(spark, sf)
+    q = _sequences(rows.select(F.col("query_id").alias("seq_id")), alphabet, 8)
+    r = _sequences(rows.select(F.col("ref_id").alias("seq_id")), alphabet, 8)
+    return rpa.place(rows, q, r, alphabet=kind)
+
+
+@query()
+def rpa_dna(spark, sf):
+    return _placed(spark, sf, "ACGTACGTACGTACGT", "nucleotide")
+
+
+@query()
+def rpa_protein(spark, sf):
+    return _placed(spark, sf, "ARNDCQEGHILKMFPS", "protein")
+
+
+@query(V + "SELECT query_id, segment_no, masked FROM seg WHERE score >= 5")
+def stream_filter(spark, sf):
+    """The stateless part as a stream over files, the segmentation on each batch."""
+    from cladeflow.streaming import run_stream
+
+    return run_stream(spark, X.alignments(spark, sf), lambda df: segments.segment(df).where("score >= 5").select("query_id", "segment_no", "masked"))

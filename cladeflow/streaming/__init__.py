@@ -1 +1,31 @@
-"""Part of the classification engine."""
+"""A stream of alignment files: each batch of files holds whole queries and runs through the batch operators.
+
+The data has no event time, so there is no watermark and no state between batches."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cladeflow.runtime import scratch
+
+
+def stream_operator(spark: SparkSession, folder: str, schema, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+    """Start a query that reads parquet files as they come and writes the operator's rows of each batch once.
+
+    A batch's rows go to a folder of its number, so that a batch run again after a failure replaces itself."""
+    source = spark.readStream.schema(schema).parquet(folder)
+
+    def batch(df: DataFrame, number: int) -> None:
+        operator(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_stream(spark: SparkSession, rows: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows as a stream, to its end."""
+    base = scratch(spark, "stream")
+    rows.write.parquet(f"{base}/in")
+    stream_operator(spark, f"{base}/in", rows.schema, operator, f"{base}/out", f"{base}/check").awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
