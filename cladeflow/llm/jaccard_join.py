@@ -231,10 +231,10 @@ def first_answers(entries: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int")
 
 
-def open_pairs(pos, n, sid, comp, bits, num: int, den: int, all_pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def open_pairs(pos, n, sid, comp, bits, num: int, den: int, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of one list: pairs of sets of different components that positions and sketches leave possible.
 
-    Without all_pairs, each set's pairs come down to that with the least set."""
+    Turn 0 gives all; another turn gives each set one partner, by an order of the turn's own."""
     levels = level(n)
     for bit in np.unique(levels).tolist():
         x = np.flatnonzero(levels == bit)
@@ -251,9 +251,9 @@ def open_pairs(pos, n, sid, comp, bits, num: int, den: int, all_pairs: bool) ->
             i, j = i[once], j[once]
             good = near(wide, wide, row_of[a + i], j, apart(n[part[i]], n[y[j]], num, den))
             u, v = part[i[good]], y[j[good]]
-            if not all_pairs and len(u):
+            if turn and len(u):
                 u, v = np.concatenate([u, v]), np.concatenate([v, u])
-                order = np.lexsort((sid[v], u))
+                order = np.lexsort((common.mix(sid.view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C1))[v], u))
                 u, v = u[order], v[order]
                 first = np.concatenate([[True], u[1:] != u[:-1]])
                 u, v = u[first], v[first]
@@ -261,7 +261,7 @@ def open_pairs(pos, n, sid, comp, bits, num: int, den: int, all_pairs: bool) ->
                 yield np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v])
 
 
-def later_answers(lists: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
+def later_answers(lists: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     """Pairs (a, b) of sets of different components that share a list and may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +271,7 @@ def later_answers(lists: DataFrame, num: int, den: int, all_pairs: bool) -> Data
             found = [
                 pair
                 for a, z in zip(first.tolist(), np.append(first, len(t))[1:].tolist(), strict=True)
-                for pair in open_pairs(pos[a:z], n[a:z], r["sid"][a:z], r["comp"][a:z], r["bits"][a:z], num, den, all_pairs)
+                for pair in open_pairs(pos[a:z], n[a:z], r["sid"][a:z], r["comp"][a:z], r["bits"][a:z], num, den, turn)
             ]
             if found:
                 both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
@@ -379,17 +379,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     done = None
     comp: DataFrame | None = None
     pairs = materialize(screened(answers.where("b is not null").select("a", "b").distinct(), reps, num, den), "pairs")
-    for turn in range(3):
-        if not pairs.limit(1).count():
-            if turn == 2:
-                break
-        else:
+    # Each turn joins components through one partner a set, in another order; when a turn finds no link, or after
+    # the last, all pairs left between components are looked at, which ends it.
+    turn = 1
+    while True:
+        found = 0
+        if pairs.limit(1).count():
             sids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
             links = materialize(verified(pairs, texts_of(rows, reps.select("sid", "rep"), sids, k), k, num, den), "links")
-            comp = relabel(comp, links)
+            found = links.count()
+            comp = relabel(comp, links) if found else comp
             done = pairs if done is None else done.unionAll(pairs)
-        if turn == 2:
+        if turn == 0:
             break
+        turn = 0 if turn > 5 or turn > 1 and not found else turn
         lists = entries
         if comp is not None:
             lists = entries.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -399,11 +402,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         else:
             lists = entries.withColumn("comp", F.col("sid"))
         entries = materialize(lists.select("token", "pos", "n", "sid", "comp"), "lists")
-        more = later_answers(entries.join(reps.select("sid", "bits"), "sid"), num, den, all_pairs=turn == 1).distinct()
+        more = later_answers(entries.join(reps.select("sid", "bits"), "sid"), num, den, turn).distinct()
         if done is not None:
             more = more.join(done, ["a", "b"], "left_anti")
         pairs = materialize(more, "pairs")
         entries = entries.drop("comp")
+        turn = turn + 1 if turn else 0
     reps = reps.select("sid", "rep", "copies")
     named = reps.withColumn("comp", F.col("sid")) if comp is None else reps.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = materialize(named, "named")
