@@ -126,6 +126,34 @@ def seq_edit_distance(spark, sf):
     return p.select("item_id", fn.edit_bounds(F.col("s"), F.col("b")).alias("x")).select("item_id", "x.distance", "x.gaps", "x.matches")
 
 
+GAPPED = f"""WITH s AS (SELECT item_id, replace({DNA}, 'N', '-') AS s FROM benchmark),
+p AS (SELECT a.item_id, rpad(a.s, greatest(length(a.s), length(b.s))::INT, '-') AS a, rpad(b.s, greatest(length(a.s), length(b.s))::INT, '-') AS b FROM s a JOIN s b ON b.item_id = a.item_id + 1),
+c AS (SELECT item_id, unnest(range(1, length(a) + 1)) AS i, a, b FROM p),
+d AS (SELECT item_id, i, a[i] AS x, b[i] AS y FROM c)"""
+
+
+def _gapped(spark, sf) -> DataFrame:
+    """Neighbouring items as gapped strings of one length."""
+    s = table(spark, sf, "benchmark").select("item_id", F.translate(fn.dna(F.col("text")), "N", "-").alias("s"))
+    p = s.join(s.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("t")), "item_id")
+    size = F.greatest(F.length("s"), F.length("t"))
+    return p.select("item_id", F.rpad("s", size, F.lit("-")).alias("a"), F.rpad("t", size, F.lit("-")).alias("b"))
+
+
+@query(GAPPED + """, k AS (SELECT item_id, i, x, y, x = '-' OR y = '-' AS g, lag(x = '-' OR y = '-', 1, false) OVER (PARTITION BY item_id ORDER BY i) AS before FROM d)
+SELECT item_id, sum(CASE WHEN g THEN -1 - CASE WHEN before THEN 0 ELSE 5 END WHEN x = y THEN 2 ELSE -3 END)::DOUBLE AS score FROM k GROUP BY 1""")
+def seq_affine_dna(spark, sf):
+    return _gapped(spark, sf).select("item_id", fn.affine_score_dna(F.col("a"), F.col("b"), 2, -3, 5, 1).alias("score"))
+
+
+# of the letters in these strings: A-A, C-C, G-G, T-T, A-C, A-G, A-T, C-G, C-T, G-T
+@query(GAPPED + """, k AS (SELECT *, x = '-' OR y = '-' AS g FROM d WHERE NOT (x = '-' AND y = '-')), r AS (SELECT *, lag(g, 1, false) OVER (PARTITION BY item_id ORDER BY i) AS before FROM k),
+m AS (SELECT * FROM (VALUES ('AA', 4), ('CC', 9), ('GG', 6), ('TT', 5), ('AC', 0), ('AG', 0), ('AT', 0), ('CG', -3), ('CT', -1), ('GT', -2)) AS v(p, n))
+SELECT p.item_id, coalesce(sum(CASE WHEN g THEN CASE WHEN before THEN -1 ELSE -11 END ELSE n END), 0)::DOUBLE AS score FROM p LEFT JOIN r USING (item_id) LEFT JOIN m ON m.p = least(x, y) || greatest(x, y) GROUP BY 1""")
+def seq_affine_protein(spark, sf):
+    return _gapped(spark, sf).select("item_id", fn.affine_score_protein(F.col("a"), F.col("b"), 11, 1, rpa.SCORES).alias("score"))
+
+
 # taxonomy
 
 

@@ -87,6 +87,32 @@ def columns_equal(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: (x == y) & (x != "-")), lambda x: x))
 
 
+def affine_score_dna(a: Column, b: Column, match: float, mismatch: float, gap_open: float, gap_extend: float) -> Column:
+    """Score of two gapped strings of one length: only equal A, C, G, T match; each column of a run of gaps, on whichever
+    side, costs an extension, and the run an opening."""
+    kind = F.zip_with(
+        F.split(F.upper(a), ""), F.split(F.upper(b), ""),
+        lambda x, y: F.when((x == "-") | (y == "-"), "G").when((x == y) & x.isin(*"ACGT"), "M").otherwise("X"),
+    )
+    text = F.array_join(kind, "")
+    count = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
+    runs = F.regexp_count(text, F.lit("G+"))
+    return (count("M") * match + count("X") * mismatch - runs * gap_open - count("G") * gap_extend).cast("double")
+
+
+def affine_score_protein(a: Column, b: Column, gap_open: float, gap_extend: float, matrix: dict[tuple[str, str], int], unknown: int = -4) -> Column:
+    """Score of two gapped strings of one length by a symmetric matrix; pairs that it lacks score `unknown`.
+
+    Columns with a gap on both sides count for nothing; the first gap of a run costs the opening, the others an extension."""
+    pairs = F.filter(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: F.concat(x, y)), lambda p: p != "--")
+    known = F.create_map(*[F.lit(v) for (x, y), n in sorted(matrix.items()) for v in (x + y, n)])
+    points = F.transform(pairs, lambda p: F.when(p.contains("-"), 0).otherwise(F.coalesce(F.try_element_at(known, p), F.lit(unknown))))
+    shape = F.array_join(F.transform(pairs, lambda p: F.when(p.contains("-"), "G").otherwise("P")), "")
+    runs = F.regexp_count(shape, F.lit("G+"))
+    gaps = F.length(shape) - F.length(F.translate(shape, "G", ""))
+    return (F.aggregate(points, F.lit(0), lambda s, x: s + x) - runs * gap_open - (gaps - runs) * gap_extend).cast("double")
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """The longest common prefix of two arrays: the path to the lowest common ancestor of two lineages."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))

@@ -10,7 +10,8 @@ from pyspark.sql import Window
 
 #: Alignment columns in file order and their types; the twelfth, cigar, may be missing.
 ALIGNMENT = (("query_id", "string"), ("query_start", "bigint"), ("query_stop", "bigint"), ("query_length", "bigint"), ("ref_id", "string"), ("ref_start", "bigint"), ("ref_stop", "bigint"), ("score", "float"), ("evalue", "double"), ("identities", "bigint"), ("aln_length", "bigint"))
-TAXONOMY_VARIABLE = "TAXATORTK_TAXONOMY_NCBI"
+#: Environment variable of the taxonomy dump's folder, where no folder is given.
+TAXONOMY_VARIABLE = "CLADEFLOW_TAXONOMY"
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -129,16 +130,16 @@ def build_fai(spark: SparkSession, path: str) -> DataFrame:
 GFF_HEAD = "##gff-version 3"
 
 
-def gff3_lines(df: DataFrame, tax_text: Column, source: str = "taxator-tk") -> DataFrame:
+def gff3_lines(df: DataFrame, tax_text: Column, source: str = "cladeflow") -> DataFrame:
     """Prediction rows as GFF3; ival only where it is from 0 to below 1."""
     ival = F.when((F.col("ival") >= 0) & (F.col("ival") < 1), F.concat(F.lit(";ival="), F.col("ival").cast("string"))).otherwise("")
     attributes = F.concat(F.lit("seqlen="), F.col("seqlen").cast("string"), F.lit(";tax="), tax_text, F.lit(";rtax="), F.col("rtax"), ival)
     return df.select(F.concat_ws("\t", "query_id", F.lit(source), F.lit("sequence_feature"), F.col("feature_begin").cast("string"), F.col("feature_end").cast("string"), F.lit("0"), F.lit("."), F.lit("."), attributes).alias("value"))
 
 
-def write_gff3(df: DataFrame, tax_text: Column, path: str) -> None:
+def write_gff3(df: DataFrame, tax_text: Column, path: str, source: str = "cladeflow") -> None:
     """Every part file starts with the version line, which readers skip as a comment."""
-    body = gff3_lines(df, tax_text)
+    body = gff3_lines(df, tax_text, source)
     head = df.sparkSession.createDataFrame([(GFF_HEAD,)], "value string")
     head.unionAll(body).write.text(path)
 
@@ -155,10 +156,10 @@ def read_predictions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def write_bioboxes(df: DataFrame, path: str, sample_id: str, taxonomy_version: str = "") -> None:
-    """A binning table with its header block: one file, as the format wants."""
+def write_bioboxes(df: DataFrame, path: str, sample_id: str, taxonomy_version: str = "", prefix: str = "Cladeflow") -> None:
+    """A binning table with its header block: one file, as the format wants. Own columns are named by the prefix."""
     spark = df.sparkSession
-    head = ["@Version:0.9.0", f"@SampleID:{sample_id}", *([f"@TaxonomyID:{taxonomy_version}"] if taxonomy_version else []), "@@SequenceID\tTAXID\t_TaxatorTK_Support\t_TaxatorTK_Length"]
+    head = ["@Version:0.9.0", f"@SampleID:{sample_id}", *([f"@TaxonomyID:{taxonomy_version}"] if taxonomy_version else []), f"@@SequenceID\tTAXID\t_{prefix}_Support\t_{prefix}_Length"]
     top = spark.createDataFrame([(i, x) for i, x in enumerate(head)], "o long, value string")
     body = df.select(F.lit(len(head)).cast("long").alias("o"), F.concat_ws("\t", "sequence_id", "taxid", F.col("support").cast("string"), F.col("length").cast("string")).alias("value"))
     top.unionAll(body).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
