@@ -92,7 +92,7 @@ def affine_score_dna(a: Column, b: Column, match: float, mismatch: float, gap_op
     side, costs an extension, and the run an opening."""
     kind = F.zip_with(
         F.split(F.upper(a), ""), F.split(F.upper(b), ""),
-        lambda x, y: F.when((x == "-") | (y == "-"), "G").when((x == y) & x.isin(*"ACGT"), "M").otherwise("X"),
+        lambda x, y: F.when((x == "-") | (y == "-"), "G").when(x == "", "").when((x == y) & x.isin(*"ACGT"), "M").otherwise("X"),
     )
     text = F.array_join(kind, "")
     count = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
@@ -104,7 +104,7 @@ def affine_score_protein(a: Column, b: Column, gap_open: float, gap_extend: floa
     """Score of two gapped strings of one length by a symmetric matrix; pairs that it lacks score `unknown`.
 
     Columns with a gap on both sides count for nothing; the first gap of a run costs the opening, the others an extension."""
-    pairs = F.filter(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: F.concat(x, y)), lambda p: p != "--")
+    pairs = F.filter(F.zip_with(F.split(F.upper(a), ""), F.split(F.upper(b), ""), lambda x, y: F.concat(x, y)), lambda p: ~p.isin("--", ""))
     known = F.create_map(*[F.lit(v) for (x, y), n in sorted(matrix.items()) for v in (x + y, n)])
     points = F.transform(pairs, lambda p: F.when(p.contains("-"), 0).otherwise(F.coalesce(F.try_element_at(known, p), F.lit(unknown))))
     shape = F.array_join(F.transform(pairs, lambda p: F.when(p.contains("-"), "G").otherwise("P")), "")

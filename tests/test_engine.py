@@ -185,3 +185,15 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_affine_scores(spark):
+    from cladeflow import functions as fn
+    from cladeflow.operators.rpa import SCORES
+
+    rows = [("ACGT", "ACGT"), ("AC--GT", "ACTTGT"), ("A-CN", "AT-N"), ("--AC", "--AC"), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(fn.affine_score_dna(df.a, df.b, 2, -3, 5, 1).alias("d"), fn.affine_score_protein(df.a, df.b, 11, 1, SCORES).alias("p")).collect()
+    # a run goes on when the gap changes sides; N matches nothing; columns of two gaps cost in DNA alone
+    assert [r.d for r in got] == [8.0, 8.0 - 7.0, 2 - 7.0 - 3, 4 - 7.0, 0.0]
+    assert [r.p for r in got] == [4 + 9 + 6 + 5.0, 24 - 12.0, 4 - 12.0 + 6, 13.0, 0.0]
