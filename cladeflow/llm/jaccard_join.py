@@ -25,6 +25,10 @@ from cladeflow.runtime import materialize, ship, table
 
 #: Most rows that a broadcast side may have; beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
+#: Most links that one task joins to components (about 30 MB); more are contracted by rounds of shuffles first.
+TASK_EDGES = 200_000
+#: Most turns in which a set has one partner a list, before all pairs left are looked at.
+TURNS = 3
 
 
 def sets_of(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -339,18 +343,47 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame | None:
-    """(sid, comp) of every linked set. Each round joins every set to its least neighbour; what is left are
-    links between the joined, far fewer: a written table per round, nothing on the driver."""
+def joined_in_task(edges: DataFrame) -> DataFrame:
+    """(u, m): each set's least reachable one, by union and find in one task; the caller bounds the edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while above.setdefault(top, top) != top:
+                top = above[top]
+            while above[x] != top:
+                above[x], x = top, above[x]
+            return top
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                low, high = sorted((root(u), root(v)))
+                above[high] = low
+        for name in sorted(above):
+            root(name)
+        if above:
+            yield pa.RecordBatch.from_arrays([pa.array(list(above), pa.int64()), pa.array(list(above.values()), pa.int64())], names=["u", "m"])
+
+    return edges.coalesce(1).mapInArrow(run, "u long, m long")
+
+
+def components(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame | None:
+    """(sid, comp) of every linked set, from written links. Each round joins every set to its least neighbour; what is
+    left are links between the joined, far fewer: a written table per round, nothing on the driver. The last
+    task_edges of them are joined in one task."""
     maps: list[DataFrame] = []
-    edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
-    while edges.limit(1).count():
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    while (n := edges.count()) > task_edges:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         to = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "joined")
         maps.append(to)
         of_u = edges.join(to, "u").select(F.col("m").alias("mu"), "v")
         of_v = of_u.join(to.select(F.col("u").alias("v"), F.col("m").alias("mv")), "v")
         edges = materialize(of_v.where("mu <> mv").select(F.col("mu").alias("u"), F.col("mv").alias("v")).distinct(), "edges")
+    if n:
+        maps.append(joined_in_task(edges))
     if not maps:
         return None
     out = maps[0].select(F.col("u").alias("sid"), F.col("m").alias("comp"))
@@ -392,7 +425,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             done = pairs if done is None else done.unionAll(pairs)
         if turn == 0:
             break
-        turn = 0 if turn > 5 or turn > 1 and not found else turn
+        turn = 0 if turn > TURNS or turn > 1 and not found else turn
         lists = entries
         if comp is not None:
             lists = entries.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))

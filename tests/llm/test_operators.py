@@ -67,6 +67,21 @@ def test_jaccard_random(spark):
     assert [r["component_id"] for r in collect(jaccard_join.jaccard_components(df, 3, 90, 100))] == comp
 
 
+@pytest.mark.parametrize("task_edges", [0, 5, 10_000])
+def test_components(spark, task_edges):
+    """Rounds alone, rounds and a task, and the task alone agree with brute force; repeated links, loops and chains."""
+    rng = np.random.default_rng(3)
+    pairs = [(i, i + 1) for i in range(-5, 40)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (120, 2))] + [(7, 7), (7, 8), (-(1 << 62), 1 << 62)]
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = jaccard_join.components(spark.createDataFrame(pairs, "a long, b long"), task_edges)
+    assert {r["sid"]: r["comp"] for r in got.collect()} == least
+    assert got.count() == len(least)
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long"), task_edges) is None
+
+
 @pytest.mark.parametrize("op", ["jaccard", "tokens", "pack", "rules", "pieces", "licenses"])
 def test_empty_table(spark, op):
     empty = spark.createDataFrame([], SCHEMA)
