@@ -235,8 +235,9 @@ def first_answers(entries: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int")
 
 
-def open_pairs(pos, n, sid, comp, bits, num: int, den: int, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of one list: pairs of sets of different components that positions and sketches leave possible.
+def open_pairs(pos, n, sid, comp, bits, num: int, den: int, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one list: pairs of sets of different components that positions and sketches leave possible, and the places
+    of all entries that have such a partner.
 
     Turn 0 gives all; another turn gives each set one partner, by an order of the turn's own."""
     levels = level(n)
@@ -255,6 +256,7 @@ def open_pairs(pos, n, sid, comp, bits, num: int, den: int, turn: int) -> Iterat
             i, j = i[once], j[once]
             good = near(wide, wide, row_of[a + i], j, apart(n[part[i]], n[y[j]], num, den))
             u, v = part[i[good]], y[j[good]]
+            alive = np.union1d(u, v)
             if turn and len(u):
                 u, v = np.concatenate([u, v]), np.concatenate([v, u])
                 order = np.lexsort((common.mix(sid.view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C1))[v], u))
@@ -262,28 +264,35 @@ def open_pairs(pos, n, sid, comp, bits, num: int, den: int, turn: int) -> Iterat
                 first = np.concatenate([[True], u[1:] != u[:-1]])
                 u, v = u[first], v[first]
             if len(u):
-                yield np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v])
+                yield np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v]), alive
 
 
 def later_answers(lists: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share a list and may be similar enough."""
+    """Pairs (a, b) of sets of different components that share a list and may be similar enough; unless all are asked
+    now (turn 0), also the entries that have such a partner (b null). Components only grow, so the others never get one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in runs(batches):
-            t, pos, n = r["token"], r["pos"].astype(np.int64), r["n"].astype(np.int64)
+            t, pos, n, sid = r["token"], r["pos"].astype(np.int64), r["n"].astype(np.int64), r["sid"]
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             found = [
-                pair
+                (low, high, a + alive)
                 for a, z in zip(first.tolist(), np.append(first, len(t))[1:].tolist(), strict=True)
-                for pair in open_pairs(pos[a:z], n[a:z], r["sid"][a:z], r["comp"][a:z], r["bits"][a:z], num, den, turn)
+                for low, high, alive in open_pairs(pos[a:z], n[a:z], sid[a:z], r["comp"][a:z], r["bits"][a:z], num, den, turn)
             ]
-            if found:
-                both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            if not found:
+                continue
+            low, high, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            both = np.unique(np.stack([low, high], 1), axis=0)
+            none = pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.int32()), pa.nulls(len(both), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *none], schema=PAIRS)
+            if turn:
+                at = np.unique(at)
+                yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.nulls(len(at), pa.int64()), pa.array(t[at]), pa.array(n[at].astype(np.int32)), pa.array(pos[at].astype(np.int32))], schema=PAIRS)
 
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lists.select("token", "pos", "n", "sid", "comp", "bits").repartition(parts, "token").sortWithinPartitions("token", "pos", "n", "sid")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int")
 
 
 def screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -434,12 +443,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             lists = lists.join(open_, "token", "left_semi")
         else:
             lists = entries.withColumn("comp", F.col("sid"))
-        entries = materialize(lists.select("token", "pos", "n", "sid", "comp"), "lists")
-        more = later_answers(entries.join(reps.select("sid", "bits"), "sid"), num, den, turn).distinct()
+        answers = materialize(later_answers(lists.join(reps.select("sid", "bits"), "sid"), num, den, turn), "answers")
+        more = answers.where("b is not null").select("a", "b").distinct()
         if done is not None:
             more = more.join(done, ["a", "b"], "left_anti")
         pairs = materialize(more, "pairs")
-        entries = entries.drop("comp")
+        entries = answers.where("b is null").select("token", "pos", "n", F.col("a").alias("sid"))
         turn = turn + 1 if turn else 0
     reps = reps.select("sid", "rep", "copies")
     named = reps.withColumn("comp", F.col("sid")) if comp is None else reps.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
