@@ -94,26 +94,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def word_vectors(rows: pa.Table, seed: int, most_words: int) -> np.ndarray:
-    """Random indexing: each word sums its own and its two neighbours' index vectors on either side, rotated by distance."""
+def word_vectors(rows: pa.Table, seed: int) -> np.ndarray:
+    """Random indexing: each word sums its own and its two neighbours' index vectors on either side, rotated by distance.
+
+    Every word of every row counts; per_class alone bounds the rows."""
     index = index_vectors(1 << BITS, DIM, seed)
-    out, left = index.copy(), most_words
+    out = index.copy()
     for raw, offsets in labelled.chunks(rows.column("text")):
         bucket, doc, _ = units(raw, offsets)
-        bucket, doc = bucket[:left], doc[:left]
-        left -= len(bucket)
         for gap in (1, 2):
             same = np.flatnonzero(doc[gap:] == doc[:-gap])
             a, b = bucket[same], bucket[same + gap]
             np.add.at(out, a, np.roll(index, gap, 1)[b])
             np.add.at(out, b, np.roll(index, -gap, 1)[a])
-        if left <= 0:
-            break
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
 
 
-def fit(rows: pa.Table, sizes: dict[int, int], hidden: int = 32, epochs: int = 40, rate: float = 0.003, seed: int = 3, most_words: int = 2_000_000) -> Model:
-    model = Model(word_vectors(rows, seed, most_words))
+def fit(rows: pa.Table, sizes: dict[int, int], hidden: int = 32, epochs: int = 40, rate: float = 0.003, seed: int = 3) -> Model:
+    model = Model(word_vectors(rows, seed))
     y = rows.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return model

@@ -199,3 +199,17 @@ def test_classifiers(spark):
     none = toxicity.train(d, y.where("toxic = 0"))
     assert none.score(*common.text_bytes(__import__("pyarrow").array(["x", ""]))).tolist() == pytest.approx([toxicity.FLOOR] * 2)
     assert labelled.training_rows(d, y, "toxic", 10)[0].num_rows == 20
+
+
+def test_word_vectors_read_every_row():
+    import pyarrow as pa
+
+    # a late row is read whole after two million words of an early one
+    late = "one two three four five"
+    rows = pa.table({"id": [1, 2], "y": [0, 0], "text": ["a " * 2_000_001, late]})
+    got = quality_classifier.fit(rows, {0: 2, 1: 0}).vectors
+    alone = quality_classifier.fit(rows.slice(1), {0: 1, 1: 0}).vectors
+    bucket, _, _ = quality_classifier.units(*common.text_bytes(pa.array([late])))
+    assert len(set(bucket.tolist())) == 5 and np.allclose(got[bucket], alone[bucket])
+    bare = quality_classifier.index_vectors(1 << quality_classifier.BITS, quality_classifier.DIM, 3)
+    assert not np.allclose(got[bucket], bare[bucket] / 2)
