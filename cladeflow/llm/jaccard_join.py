@@ -4,7 +4,9 @@ Sets with equal members are one set. Every set enters the inverted lists of its
 commonest shingles last. A list's entries form blocks of equal position and size; a block that can't reach the
 similarity from its positions is skipped whole. A set takes its first answer in a list from one pivot, the least
 compatible set; what highly similar sets have in common with the pivot is then known, and only pairs that aren't
-yet in one component are looked at again, until none is left: no link between components is lost.
+yet in one component are looked at again, until none is left: no link between components is lost. Links lie within
+components, so each set's links are counted there: of two blocks of a component one set is the pivot, its overlaps with
+all others are computed, and the overlap of any two is derived from theirs and from how both differ from the pivot.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; a text of
 fewer than k words is one shingle; repeated rows have equal sets, so one component; rows with a null id take no part
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.llm import common
@@ -29,6 +31,8 @@ BROADCAST_ROWS = 300_000
 TASK_EDGES = 200_000
 #: Most turns in which a set has one partner a list, before all pairs left are looked at.
 TURNS = 3
+#: Members of the sets of one block, each set taken as BLOCK_MEMBERS / BLOCK_SETS at least; a task holds two blocks.
+BLOCK_MEMBERS, BLOCK_SETS = 1 << 18, 512
 
 
 def sets_of(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -408,8 +412,90 @@ def relabel(old: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return components(links)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) under Jaccard >= num / den."""
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of the intersections of all sets of `one` with all of `two`.
+
+    The pivot's are computed; any other is derived from them: |A & B| = |A & P| + |B & P| - |P| + (A - P)(B - P), the last
+    a product of the signed differences."""
+    pivot = one[len(one) // 2]
+
+    def against(sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        apart_ = [np.setxor1d(s, pivot, assume_unique=True) for s in sets]
+        token = np.concatenate(apart_)
+        at = np.minimum(np.searchsorted(pivot, token), len(pivot) - 1)
+        shared = np.array([(len(s) + len(pivot) - len(d)) // 2 for s, d in zip(sets, apart_, strict=True)])
+        return shared, np.repeat(np.arange(len(sets)), list(map(len, apart_))), token, np.where(pivot[at] == token, -1, 1)
+
+    (p, i, s, u), (q, j, t, v) = against(one), against(two)
+    out = p[:, None] + q[None] - len(pivot)
+    columns = np.intersect1d(s, t)
+    for a in range(0, len(columns), 4096):
+        c = columns[a : a + 4096]
+
+        def dense(rows: int, row: np.ndarray, token: np.ndarray, sign: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(c, token), len(c) - 1)  # noqa: B023
+            has = c[at] == token  # noqa: B023
+            m = np.zeros((rows, len(c)), np.float32)  # noqa: B023
+            m[row[has], at[has]] = sign[has]
+            return m
+
+        out += np.rint(dense(len(one), i, s, u) @ dense(len(two), j, t, v).T).astype(np.int64)
+    return out
+
+
+def link_counts(docs: DataFrame, named: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(sid, more): how many rows of other sets each set is linked with; sets without such a link may be missing.
+
+    named holds sid, rep, copies, n and comp. A component's sets are dealt to blocks of bounded size by their own size;
+    every two blocks that sizes leave possible meet in one group of rows."""
+    several = named.groupBy("comp").count().where("count > 1").select("comp")
+    ahead = Window.partitionBy("comp").orderBy("n", "sid").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.greatest(F.col("n").cast("long"), F.lit(BLOCK_MEMBERS // BLOCK_SETS))
+    placed = named.join(several, "comp").withColumn("block", F.floor(F.coalesce(F.sum(weight).over(ahead), F.lit(0)) / BLOCK_MEMBERS))
+    placed = materialize(placed.select("comp", "block", "sid", "rep", "copies", "n"), "blocks")
+    bounds = placed.groupBy("comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    x = bounds.select("comp", F.col("block").alias("x"), "high")
+    y = bounds.select("comp", F.col("block").alias("y"), "low")
+    both = x.join(y, "comp").where((F.col("x") <= F.col("y")) & (den * F.col("high").cast("long") >= num * F.col("low").cast("long"))).select("comp", "x", "y")
+    dealt = placed.join(both.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))), ["comp", "block"]).select("comp", "x", "y", "block", "sid", "copies")
+    rows = dealt.join(texts_of(docs, placed.select("sid", "rep"), placed.select("sid"), k), "sid")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["comp", "x", "y"]
+    rows = rows.select(*keys, "block", "sid", "copies", "text").repartition(parts, *keys).sortWithinPartitions(*keys, "block", "sid")
+
+    def counted(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        one, two = ([h for h in held if h[0] == block] for block in key[1:])
+        overlap = overlaps([h[3] for h in one], [h[3] for h in two])
+        na, nb = (np.array([len(h[3]) for h in side]) for side in (one, two))
+        ok = den * overlap >= num * (na[:, None] + nb[None] - overlap)
+        if key[1] == key[2]:
+            np.fill_diagonal(ok, False)
+        sid, more = [h[1] for h in one], ok @ np.array([h[2] for h in two])
+        if key[1] != key[2]:
+            sid, more = sid + [h[1] for h in two], np.concatenate([more, np.array([h[2] for h in one]) @ ok])
+        return pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(more, pa.int64())], names=["sid", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            for b in common.pieces_of(batch, "text", 1 << 20):
+                named_ = zip(*(b.column(c).to_pylist() for c in [*keys, "block", "sid", "copies"]), sets_of(*common.text_bytes(b.column("text")), k), strict=True)
+                for *key, block, sid, copies, members in named_:
+                    if key != last:
+                        if held:
+                            yield counted(last, held)
+                        last, held = key, []
+                    held.append((block, sid, copies, members))
+        if held:
+            yield counted(last, held)
+
+    return rows.mapInArrow(run, "sid long, more long").groupBy("sid").agg(F.sum("more").alias("more"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach) under Jaccard >= num / den.
+
+    With links also n_links: how many other rows reach that similarity (null for a null id, 0 without shingles)."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -450,18 +536,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         pairs = materialize(more, "pairs")
         entries = answers.where("b is null").select("token", "pos", "n", F.col("a").alias("sid"))
         turn = turn + 1 if turn else 0
-    reps = reps.select("sid", "rep", "copies")
+    reps = reps.select("sid", "rep", "copies", "n")
     named = reps.withColumn("comp", F.col("sid")) if comp is None else reps.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = materialize(named, "named")
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
-    few = named.join(least.where("members > 1"), "comp").select("sid", "component_id")
+    few = named.join(least.where("members > 1"), "comp").select("sid", "component_id", "copies")
+    if links:
+        few = few.join(link_counts(rows, named, k, num, den), "sid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("more", F.lit(0)))
+        few = materialize(few.select("sid", "component_id", "n_links"), "link-counts")
+    else:
+        few = few.select("sid", "component_id")
     # a set that a third of the rows share: its rows are dealt by salt, and the sets' small side to every salt
     salts = 8
     right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = own.select("doc_id", "sid", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     out = left.join(right, ["sid", "salt"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    n_links = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if links else []
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)
 
 
 def op1_ngram_jaccard(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100, links=True)

@@ -213,3 +213,29 @@ def test_word_vectors_read_every_row():
     assert len(set(bucket.tolist())) == 5 and np.allclose(got[bucket], alone[bucket])
     bare = quality_classifier.index_vectors(1 << quality_classifier.BITS, quality_classifier.DIM, 3)
     assert not np.allclose(got[bucket], bare[bucket] / 2)
+
+
+@pytest.mark.parametrize("members", [1 << 18, 2048])
+def test_jaccard_links(spark, monkeypatch, members):
+    # 2048: many blocks a component
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", members)
+    rng = np.random.default_rng(1)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 40, 60)) for _ in range(4)]
+    rows = [(0, None), (1, ""), (2, "one"), (3, "One"), (3, "one"), (None, "one")]
+    for i in range(10, 110):
+        w = base[i % 4].split()[: int(rng.integers(55, 61))]
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(0, 55))] = f"v{i % 7}"
+        rows.append((i, " ".join(w)))
+    rows += [(200, base[0]), (201, base[0]), (202, base[0].upper())]
+    s = [sets(t, 3) if i is not None else set() for i, t in rows]
+    want = sorted((i, sum(bool(j != k and a and b and 10 * len(a & b) >= 8 * len(a | b)) for k, b in enumerate(s))) for j, ((i, _), a) in enumerate(zip(rows, s, strict=True)) if i is not None)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100, links=True).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got if r["doc_id"] is not None) == want
+    assert [r["n_links"] for r in got if r["doc_id"] is None] == [None] and max(n for _, n in want) > 20
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    one, two = ([np.unique(rng.integers(0, 20_000, n)).astype(np.uint64) for n in sizes] for sizes in ((5, 900, 9000), (1, 800, 12_000, 30)))
+    assert jaccard_join.overlaps(one, two).tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
