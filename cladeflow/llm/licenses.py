@@ -7,6 +7,8 @@ digest and no licence; repeated rows are looked up each; other columns are ignor
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,8 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
 }
+#: Full texts as published, one file a licence; the driver alone reads them.
+KNOWN |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).resolve().parent / "license_texts").glob("*.txt"))}
 
 
 def canonical(text: Column) -> Column:

@@ -239,3 +239,14 @@ def test_overlaps():
     rng = np.random.default_rng(2)
     one, two = ([np.unique(rng.integers(0, 20_000, n)).astype(np.uint64) for n in sizes] for sizes in ((5, 900, 9000), (1, 800, 12_000, 30)))
     assert jaccard_join.overlaps(one, two).tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
+
+
+def test_full_licenses(spark):
+    names = ["Apache-2.0", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    texts = [licenses.KNOWN[n] for n in names]
+    opening = {"Apache-2.0": "Apache License", "CC0-1.0": "CC0 1.0 Universal", "GPL-3.0": "GNU GENERAL PUBLIC LICENSE", "MPL-2.0": "Mozilla Public License", "BSL-1.0": "Boost Software License"}
+    assert all(word in licenses.KNOWN[n][:200] for n, word in opening.items())
+    rows = [(i, "Copyright 2020 Someone\n" + t.upper().replace("  ", " ")) for i, t in enumerate(texts)]
+    got = collect(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [r["license_id"] for r in got] == names
+    assert licenses.known_digests(spark).count() == len(licenses.KNOWN)
