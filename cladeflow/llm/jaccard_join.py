@@ -183,18 +183,41 @@ def reach(na, pa_, nb, pb, num: int, den: int):
     return den * most >= num * (na + nb - most)
 
 
-def pivots(pos: np.ndarray, n: np.ndarray, sid: np.ndarray, num: int, den: int) -> np.ndarray:
+def pivots(pos: np.ndarray, n: np.ndarray, sid: np.ndarray, num: int, den: int, most: int = 1 << 17) -> np.ndarray:
     """For each entry of a list sorted by (pos, n, sid) the least compatible set's name, its own if it is that.
 
-    Entries of one block (position and size) share their answer: it is derived once for all of them."""
+    Entries of one block (position and size) share their answer: it is derived once for all of them. A block asks each
+    size that may fit once: behind the last position that can still do, the size's other blocks are skipped. At most
+    so many questions are held at a time."""
     first = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (n[1:] != n[:-1])]))
-    p, size, least = pos[first], n[first], np.minimum.reduceat(sid, first)
-    best = np.empty(len(first), np.int64)
-    for a in range(0, len(first), 1024):
-        ok = reach(size[a : a + 1024, None], p[a : a + 1024, None], size[None], p[None], num, den)
-        best[a : a + 1024] = np.where(ok, least[None], np.iinfo(np.int64).max).min(1)
-    out = np.repeat(best, np.diff(np.append(first, len(pos))))
-    return np.minimum(out, sid)
+    order = np.lexsort((pos[first], n[first]))
+    p, size, least = pos[first][order], n[first][order], np.minimum.reduceat(sid, first)[order]
+    start = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]]))
+    sizes = size[start]
+    for a, z in zip(start.tolist(), np.append(start, len(p))[1:].tolist(), strict=True):
+        least[a:z] = np.minimum.accumulate(least[a:z])
+    wide = int(p.max()) + 2
+    key = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(p)))) * wide + p
+    low = np.searchsorted(sizes, -(-num * size // den))
+    high = np.searchsorted(sizes, den * size // num, side="right")
+    best = np.empty(len(p), np.int64)
+    todo = np.concatenate([[0], np.cumsum(high - low)])
+    a = 0
+    while a < len(p):
+        z = max(a + 1, int(np.searchsorted(todo, todo[a] + most, side="right")) - 1)
+        count = (high - low)[a:z]
+        asks = np.repeat(np.arange(a, z), count)
+        to = np.arange(len(asks)) - np.repeat(np.cumsum(count) - count, count) + low[asks]
+        need = -(-num * (size[asks] + sizes[to]) // (den + num))
+        last = np.minimum(sizes[to] - need, wide - 1)
+        at = np.searchsorted(key, to * wide + last, side="right") - 1
+        ok = (size[asks] - p[asks] >= need) & (last >= 0) & (at >= start[to])
+        found = np.where(ok, least[np.maximum(at, 0)], np.iinfo(np.int64).max)
+        best[a:z] = np.minimum.reduceat(found, np.cumsum(count) - count)
+        a = z
+    back = np.empty(len(order), np.int64)
+    back[order] = best
+    return np.minimum(np.repeat(back, np.diff(np.append(first, len(pos)))), sid)
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
