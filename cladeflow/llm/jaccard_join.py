@@ -1,12 +1,15 @@
 """Exact Jaccard join of word n-gram sets through set relations.
 
 Sets with equal members are one set. Every set enters the inverted lists of its first members in a global order,
-commonest shingles last. A list's entries form blocks of equal position and size; a block that can't reach the
-similarity from its positions is skipped whole. A set takes its first answer in a list from one pivot, the least
-compatible set; what highly similar sets have in common with the pivot is then known, and only pairs that aren't
-yet in one component are looked at again, until none is left: no link between components is lost. Links lie within
-components, so each set's links are counted there: of two blocks of a component one set is the pivot, its overlaps with
-all others are computed, and the overlap of any two is derived from theirs and from how both differ from the pivot.
+commonest shingles last. A list's entries form blocks of equal size and position; a block asks each size that may fit
+once and skips its other blocks from the last useful position on. Entries that no other can match go.
+
+Within a list one set's distances to all others are computed, as lower bounds from parity sketches. What a highly
+similar set can be near to is derived from these answers by the triangle inequality; only a set that keeps an open
+partner outside its group computes its own. The groups hold every similar pair, and few others.
+
+A group's sets are then counted exactly: one set is the pivot, every other is written as its difference from the
+pivot, and the overlap of any two is derived from both differences. Links and components come from these overlaps.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; a text of
 fewer than k words is one shingle; repeated rows have equal sets, so one component; rows with a null id take no part
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.llm import common
@@ -29,10 +32,12 @@ from cladeflow.runtime import materialize, ship, table
 BROADCAST_ROWS = 300_000
 #: Most links that one task joins to components (about 30 MB); more are contracted by rounds of shuffles first.
 TASK_EDGES = 200_000
-#: Most turns in which a set has one partner a list, before all pairs left are looked at.
-TURNS = 3
-#: Members of the sets of one block, each set taken as BLOCK_MEMBERS / BLOCK_SETS at least; a task holds two blocks.
-BLOCK_MEMBERS, BLOCK_SETS = 1 << 18, 512
+#: Lists of so many entries at most give their pairs at once; longer ones are searched with sketches at hand.
+SHORT_LIST = 8
+#: Entries of one part of a list; the parts of a longer list meet two by two, in tasks of their own.
+PART_ENTRIES = 1 << 16
+#: Differences of the sets of one block, each set taken as BLOCK_DIFFERENCES / BLOCK_SETS at least; a task holds two blocks.
+BLOCK_DIFFERENCES, BLOCK_SETS = 1 << 18, 4096
 
 
 def sets_of(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -155,26 +160,40 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, tail: tuple[np.ndarr
     return docs.mapInArrow(run, ROWS)
 
 
-def runs(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted rows in portions that never part a token's list; a list is held whole, as some 30 bytes an entry."""
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000, most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Sorted rows in portions that never part rows of equal keys, and the places where other keys begin.
+
+    With most, equal keys' rows are parted after so many; then the portion holds that one key alone."""
+
+    def begins(cols: dict[str, np.ndarray]) -> np.ndarray:
+        new = np.zeros(len(cols[keys[0]]), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= cols[k][1:] != cols[k][:-1]
+        return np.flatnonzero(new)
+
+    def join(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        return parts[0] if len(parts) == 1 else {n: np.concatenate([x[n] for x in parts]) for n in parts[0]}
+
     held: list[dict[str, np.ndarray]] = []
     for b in batches:
         if not b.num_rows:
             continue
-        cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
-        last = cols["token"][-1]
-        if held and held[-1]["token"][-1] == last:
-            held.append(cols)  # the whole batch belongs to the list that is open
-            continue
-        cut = int(np.searchsorted(cols["token"], last))
-        done = [*held, {n: x[:cut] for n, x in cols.items()}]
-        if sum(len(x["token"]) for x in done) < least:
-            held.append(cols)
+        held.append({n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names})
+        if sum(len(x[keys[0]]) for x in held) < least:
             continue
-        yield {n: np.concatenate([x[n] for x in done]) for n in cols}
-        held = [{n: x[cut:] for n, x in cols.items()}]
+        cols = join(held)
+        at = begins(cols)
+        if len(at) > 1:
+            yield {n: x[: at[-1]] for n, x in cols.items()}, at[:-1]
+            cols = {n: x[at[-1] :].copy() for n, x in cols.items()}
+        while most and len(cols[keys[0]]) >= 2 * most:
+            yield {n: x[:most] for n, x in cols.items()}, at[:1]
+            cols = {n: x[most:].copy() for n, x in cols.items()}
+        held = [cols]
     if held:
-        yield {n: np.concatenate([x[n] for x in held]) for n in held[0]}
+        cols = join(held)
+        yield cols, begins(cols)
 
 
 def reach(na, pa_, nb, pb, num: int, den: int):
@@ -183,26 +202,23 @@ def reach(na, pa_, nb, pb, num: int, den: int):
     return den * most >= num * (na + nb - most)
 
 
-def pivots(pos: np.ndarray, n: np.ndarray, sid: np.ndarray, num: int, den: int, most: int = 1 << 17) -> np.ndarray:
-    """For each entry of a list sorted by (pos, n, sid) the least compatible set's name, its own if it is that.
-
-    Entries of one block (position and size) share their answer: it is derived once for all of them. A block asks each
-    size that may fit once: behind the last position that can still do, the size's other blocks are skipped. At most
-    so many questions are held at a time."""
-    first = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (n[1:] != n[:-1])]))
-    order = np.lexsort((pos[first], n[first]))
-    p, size, least = pos[first][order], n[first][order], np.minimum.reduceat(sid, first)[order]
-    start = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]]))
-    sizes = size[start]
-    for a, z in zip(start.tolist(), np.append(start, len(p))[1:].tolist(), strict=True):
-        least[a:z] = np.minimum.accumulate(least[a:z])
-    wide = int(p.max()) + 2
-    key = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(p)))) * wide + p
-    low = np.searchsorted(sizes, -(-num * size // den))
-    high = np.searchsorted(sizes, den * size // num, side="right")
-    best = np.empty(len(p), np.int64)
-    todo = np.concatenate([[0], np.cumsum(high - low)])
-    a = 0
+def partnered(t: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int, most: int = 1 << 17) -> np.ndarray:
+    """Of entries sorted by (t, n, pos): whether another entry of the same list can be similar enough.
+
+    Entries of one block (size and position) are asked for once. A block asks each size that may fit once: from the last
+    position that can still do, the size's other blocks are skipped. At most so many questions are held at a time."""
+    block = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])]))
+    size, p = n[block], pos[block]
+    sums = np.append(block, len(t))
+    new = np.concatenate([[True], (t[block][1:] != t[block][:-1]) | (size[1:] != size[:-1])])
+    start = np.flatnonzero(new)
+    sizes, tall, wide = size[start], int(size.max()) + 1, int(p.max()) + 2
+    lists = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]]))[block]
+    by_size, key = lists[start] * tall + sizes, (np.cumsum(new) - 1) * wide + p
+    low = np.searchsorted(by_size, lists * tall + -(-num * size // den))
+    high = np.searchsorted(by_size, lists * tall + np.minimum(den * size // num, tall - 1), side="right")
+    total = np.empty(len(p), np.int64)
+    todo, a = np.concatenate([[0], np.cumsum(high - low)]), 0
     while a < len(p):
         z = max(a + 1, int(np.searchsorted(todo, todo[a] + most, side="right")) - 1)
         count = (high - low)[a:z]
@@ -210,116 +226,135 @@ def pivots(pos: np.ndarray, n: np.ndarray, sid: np.ndarray, num: int, den: int,
         to = np.arange(len(asks)) - np.repeat(np.cumsum(count) - count, count) + low[asks]
         need = -(-num * (size[asks] + sizes[to]) // (den + num))
         last = np.minimum(sizes[to] - need, wide - 1)
-        at = np.searchsorted(key, to * wide + last, side="right") - 1
-        ok = (size[asks] - p[asks] >= need) & (last >= 0) & (at >= start[to])
-        found = np.where(ok, least[np.maximum(at, 0)], np.iinfo(np.int64).max)
-        best[a:z] = np.minimum.reduceat(found, np.cumsum(count) - count)
+        at = np.searchsorted(key, to * wide + last, side="right")
+        ok = (size[asks] - p[asks] >= need) & (last >= 0) & (at > start[to])
+        found = np.where(ok, sums[np.maximum(at, start[to])] - sums[start[to]], 0)
+        total[a:z] = np.add.reduceat(found, np.cumsum(count) - count)
         a = z
-    back = np.empty(len(order), np.int64)
-    back[order] = best
-    return np.minimum(np.repeat(back, np.diff(np.append(first, len(pos)))), sid)
+    other = total - reach(size, p, size, p, num, den)
+    return np.repeat(other > 0, np.diff(sums))
 
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+ANSWERS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("part", pa.int32())])
 
 
-def first_answers(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets with their pivots (a, b), and the entries of lists of three or more (b null)."""
+def matched(entries: DataFrame, num: int, den: int, part_entries: int) -> DataFrame:
+    """Pairs of sets (a, b) that share a short list, and the entries of longer lists (b null) with their part: 0, or from
+    1 on in a list of several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: set[tuple[int, int]] = set()
-        for r in runs(batches):
-            t, pos, n, sid = r["token"], r["pos"], r["n"].astype(np.int64), r["sid"]
+        long, part = None, 0
+        for r, begins in runs(batches, ["token"], most=part_entries):
+            t, n, pos, sid = r["token"], r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sid"]
             # a set can come from several tasks
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (pos[1:] != pos[:-1]) | (n[1:] != n[:-1]) | (sid[1:] != sid[:-1])])
-            t, pos, n, sid = t[new], pos[new].astype(np.int64), n[new], sid[new]
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            size = np.diff(np.append(first, len(t)))
-            two = first[size == 2]
-            two = two[reach(n[two], pos[two], n[two + 1], pos[two + 1], num, den)]
-            pairs = {(min(a, b), max(a, b)) for a, b in zip(sid[two].tolist(), sid[two + 1].tolist(), strict=True)}
-            keep = [np.zeros(0, np.int64)]
-            for a, m in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                s = slice(a, a + m)
-                best = pivots(pos[s], n[s], sid[s], num, den)
-                own = best != sid[s]
-                pairs.update(zip(best[own].tolist(), sid[s][own].tolist(), strict=True))
-                if own.any():
-                    keep.append(np.arange(a, a + m))
-            at = np.concatenate(keep)
-            pairs -= asked
-            if len(asked) > 50_000:
-                asked.clear()
-            asked |= pairs
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.nulls(len(at), pa.int64()), pa.array(t[at]), pa.array(n[at].astype(np.int32)), pa.array(pos[at].astype(np.int32))], schema=PAIRS)
-            if pairs:
-                a, b = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], schema=PAIRS)
+            new = np.concatenate([[True], (t[1:] != t[:-1]) | (n[1:] != n[:-1]) | (pos[1:] != pos[:-1]) | (sid[1:] != sid[:-1])])
+            t, n, pos, sid = t[new], n[new], pos[new], sid[new]
+            goes_on = len(begins) == 1 and (t[0] == long or len(r["token"]) == part_entries)
+            if goes_on:
+                long, part = t[0], part + 1 if t[0] == long else 1
+                own = np.full(len(t), part, np.int32)
+            else:
+                alive = partnered(t, n, pos, num, den)
+                t, n, pos, sid = t[alive], n[alive], pos[alive], sid[alive]
+                if not len(t):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                m = np.diff(np.append(first, len(t)))
+                low, high = [], []
+                for many in range(2, SHORT_LIST + 1):
+                    at = first[m == many]
+                    for i in range(many if len(at) else 0):
+                        for j in range(i):
+                            u, v = at + j, at + i
+                            ok = reach(n[u], pos[u], n[v], pos[v], num, den)
+                            low.append(np.minimum(sid[u[ok]], sid[v[ok]]))
+                            high.append(np.maximum(sid[u[ok]], sid[v[ok]]))
+                if low:
+                    both = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], 1), axis=0)
+                    none = [pa.nulls(len(both), f.type) for f in list(ANSWERS)[2:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *none], schema=ANSWERS)
+                keep = np.repeat(m > SHORT_LIST, m)
+                t, n, pos, sid = t[keep], n[keep], pos[keep], sid[keep]
+                own = np.zeros(len(t), np.int32)
+            if len(t):
+                yield pa.RecordBatch.from_arrays([pa.array(sid), pa.nulls(len(t), pa.int64()), pa.array(t), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(own)], schema=ANSWERS)
 
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entries.select("token", "pos", "n", "sid").repartition(parts, "token").sortWithinPartitions("token", "pos", "n", "sid")
-    return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int")
-
+    dealt = entries.select("token", "n", "pos", "sid").repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "sid")
+    return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int, part int")
 
-def open_pairs(pos, n, sid, comp, bits, num: int, den: int, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one list: pairs of sets of different components that positions and sketches leave possible, and the places
-    of all entries that have such a partner.
 
-    Turn 0 gives all; another turn gives each set one partner, by an order of the turn's own."""
+def grouped(pos, n, bits, label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Places (i, j) of sets of one list whose sketches leave them similar, enough to join each such pair; label holds the
+    group of each place, and is joined as well."""
+    edges: list[tuple[int, int]] = []
     levels = level(n)
     for bit in np.unique(levels).tolist():
-        x = np.flatnonzero(levels == bit)
         y = np.flatnonzero((levels == bit) | (levels == 2 * bit))
-        wide = folded(bits[y], bit)
-        row_of = np.searchsorted(y, x)
-        step = max(1, (1 << 20) // max(1, len(y)))
-        for a in range(0, len(x), step):
-            part = x[a : a + step]
-            ok = (comp[part][:, None] != comp[y][None]) & reach(n[part][:, None], pos[part][:, None], n[y][None], pos[y][None], num, den)
-            i, j = np.nonzero(ok)
-            # within a level each pair once
-            once = (levels[y[j]] != bit) | (part[i] < y[j])
-            i, j = i[once], j[once]
-            good = near(wide, wide, row_of[a + i], j, apart(n[part[i]], n[y[j]], num, den))
-            u, v = part[i[good]], y[j[good]]
-            alive = np.union1d(u, v)
-            if turn and len(u):
-                u, v = np.concatenate([u, v]), np.concatenate([v, u])
-                order = np.lexsort((common.mix(sid.view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C1))[v], u))
-                u, v = u[order], v[order]
-                first = np.concatenate([[True], u[1:] != u[:-1]])
-                u, v = u[first], v[first]
-            if len(u):
-                yield np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v]), alive
-
-
-def later_answers(lists: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share a list and may be similar enough; unless all are asked
-    now (turn 0), also the entries that have such a partner (b null). Components only grow, so the others never get one."""
+        wide, size, place = folded(bits[y], bit), n[y], pos[y]
+        open_ = levels[y] == bit
+        while open_.any():
+            lab = label[y]
+            if (lab == lab[0]).all():
+                break
+            i = int(np.argmax(open_))
+            d = np.bitwise_count(wide ^ wide[i]).sum(1, dtype=np.int64)
+            ok = (lab != lab[i]) & (d <= apart(size, size[i], num, den)) & reach(size, place, size[i], place[i], num, den)
+            for other in np.unique(lab[ok]).tolist():
+                edges.append((int(y[i]), int(y[np.flatnonzero(ok & (lab == other))[0]])))
+            if ok.any():
+                label[np.isin(label, np.append(lab[ok], lab[i]))] = min(int(lab[ok].min()), int(lab[i]))
+                lab = label[y]
+            open_[i] = False
+            # the rest of the group: nearer to an outsider than this set's distances allow?
+            own = np.flatnonzero(open_ & (lab == lab[i]))
+            far = np.flatnonzero(lab != lab[i])
+            if len(own) and len(far):
+                far = far[d[far] <= d[own].max() + apart(size[far], size[own].max(), num, den) + 2]
+                step = max(1, (1 << 19) // max(1, len(far)))
+                for a in range(0, len(own), step):
+                    o = own[a : a + step]
+                    open_[o] = (d[far][None] - d[o][:, None] <= apart(size[far][None], size[o][:, None], num, den)).any(1)
+            else:
+                open_[own] = False
+    return edges
+
+
+def list_edges(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that join the sets of each long list to groups; rows hold token, part x, part y, n, pos, sid, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in runs(batches):
-            t, pos, n, sid = r["token"], r["pos"].astype(np.int64), r["n"].astype(np.int64), r["sid"]
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            found = [
-                (low, high, a + alive)
-                for a, z in zip(first.tolist(), np.append(first, len(t))[1:].tolist(), strict=True)
-                for low, high, alive in open_pairs(pos[a:z], n[a:z], sid[a:z], r["comp"][a:z], r["bits"][a:z], num, den, turn)
-            ]
-            if not found:
-                continue
-            low, high, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            both = np.unique(np.stack([low, high], 1), axis=0)
-            none = pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.int32()), pa.nulls(len(both), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *none], schema=PAIRS)
-            if turn:
-                at = np.unique(at)
-                yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.nulls(len(at), pa.int64()), pa.array(t[at]), pa.array(n[at].astype(np.int32)), pa.array(pos[at].astype(np.int32))], schema=PAIRS)
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while above.setdefault(top, top) != top:
+                top = above[top]
+            while above[x] != top:
+                above[x], x = top, above[x]
+            return top
+
+        for r, begins in runs(batches, ["token", "x", "y"], least=4000):
+            n, pos, sid, bits = r["n"].astype(np.int64), r["pos"].astype(np.int64), r["sid"], r["bits"]
+            if len(above) > 200_000:
+                above.clear()  # groups known so far only save work
+            found: list[tuple[int, int]] = []
+            for a, z in zip(begins.tolist(), np.append(begins, len(sid))[1:].tolist(), strict=True):
+                label = np.array([root(x) for x in sid[a:z].tolist()], np.int64)
+                if (label == label[0]).all():
+                    continue
+                for i, j in grouped(pos[a:z], n[a:z], bits[a:z], label, num, den):
+                    u, v = int(sid[a + i]), int(sid[a + j])
+                    found.append((u, v) if u < v else (v, u))
+                    low, high = sorted((root(u), root(v)))
+                    above[high] = low
+            if found:
+                low, high = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
 
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lists.select("token", "pos", "n", "sid", "comp", "bits").repartition(parts, "token").sortWithinPartitions("token", "pos", "n", "sid")
-    return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int")
+    dealt = lists.select("token", "x", "y", "n", "pos", "sid", "bits").repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -341,44 +376,6 @@ def screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
-def texts_of(docs: DataFrame, reps: DataFrame, sids: DataFrame, k: int) -> DataFrame:
-    """One text for each named set (sid, text). The ids are broadcast if few; else both sides shuffle."""
-    want = materialize(sids.join(reps, "sid").select(F.col("rep").alias("doc_id"), F.col("sid").alias("want")), "wanted")
-    if want.count() <= BROADCAST_ROWS:
-        want = F.broadcast(want)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in common.pieces_of(batch, "text", 1 << 20):
-                # an id can come with several texts: the set decides
-                ids = np.array([set_id(s) if len(s) else 0 for s in sets_of(*common.text_bytes(b.column("text")), k)], np.int64)
-                same = pa.array(ids == b.column("want").to_numpy())
-                yield pa.RecordBatch.from_arrays([b.column("want").filter(same), b.column("text").filter(same)], names=["sid", "text"])
-
-    found = docs.join(want, "doc_id").select("want", "text").mapInArrow(run, "sid long, text string")
-    return materialize(found.dropDuplicates(["sid"]), "wanted-texts")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are similar enough, by their whole texts."""
-    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in common.pieces_of(batch, "ta"):
-                one = sets_of(*common.text_bytes(b.column("ta")), k)
-                two = [s for c in common.pieces_of(b, "tb") for s in sets_of(*common.text_bytes(c.column("tb")), k)]
-                ok = []
-                for x, y in zip(one, two, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(den * both >= num * (len(x) + len(y) - both))
-                ok = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
 def joined_in_task(edges: DataFrame) -> DataFrame:
     """(u, m): each set's least reachable one, by union and find in one task; the caller bounds the edges."""
 
@@ -428,149 +425,219 @@ def components(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame | No
     return materialize(out, "components")
 
 
-def relabel(old: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """Components of the links so far: the old components' links are edges of theirs to their members."""
-    if old is not None:
-        links = links.unionAll(old.where("sid <> comp").select(F.col("sid").alias("a"), F.col("comp").alias("b")))
-    return components(links)
-
+def candidate_groups(signed: DataFrame, sets: DataFrame, num: int, den: int, part_entries: int = PART_ENTRIES) -> DataFrame | None:
+    """(sid, comp) of every set that may be similar to another: any two similar sets are of one group."""
+    answers = materialize(matched(signed.where("pos >= 0"), num, den, part_entries), "answers")
+    edges = screened(answers.where("b is not null").select("a", "b").distinct(), sets, num, den)
+    entries = answers.where("b is null").select("token", "n", "pos", "part", F.col("a").alias("sid"))
+    several = entries.where("part > 0").groupBy("token").agg(F.max("part").alias("parts"))
+    one = entries.where("part = 0").select("token", F.lit(0).alias("x"), F.lit(0).alias("y"), "n", "pos", "sid")
+    other = F.explode(F.sequence(F.lit(1), "parts")).alias("other")
+    more = entries.where("part > 0").join(several, "token").select("*", other)
+    more = more.select("token", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "n", "pos", "sid")
+    lists = one.unionAll(more).join(sets.select("sid", "bits"), "sid")
+    return components(materialize(edges.unionAll(list_edges(lists, num, den)).distinct(), "edges"))
 
-def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """Exact sizes of the intersections of all sets of `one` with all of `two`.
 
-    The pivot's are computed; any other is derived from them: |A & B| = |A & P| + |B & P| - |P| + (A - P)(B - P), the last
-    a product of the signed differences."""
-    pivot = one[len(one) // 2]
+DIFFERENCES = "comp long, sid long, n int, copies long, pivot_n int, weight long, extra binary, lacking binary"
 
-    def against(sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        apart_ = [np.setxor1d(s, pivot, assume_unique=True) for s in sets]
-        token = np.concatenate(apart_)
-        at = np.minimum(np.searchsorted(pivot, token), len(pivot) - 1)
-        shared = np.array([(len(s) + len(pivot) - len(d)) // 2 for s, d in zip(sets, apart_, strict=True)])
-        return shared, np.repeat(np.arange(len(sets)), list(map(len, apart_))), token, np.where(pivot[at] == token, -1, 1)
 
-    (p, i, s, u), (q, j, t, v) = against(one), against(two)
-    out = p[:, None] + q[None] - len(pivot)
-    columns = np.intersect1d(s, t)
-    for a in range(0, len(columns), 4096):
-        c = columns[a : a + 4096]
+def differences(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Each member set as its difference from its group's pivot, the set that the group is named by.
 
-        def dense(rows: int, row: np.ndarray, token: np.ndarray, sign: np.ndarray) -> np.ndarray:
-            at = np.minimum(np.searchsorted(c, token), len(c) - 1)  # noqa: B023
-            has = c[at] == token  # noqa: B023
-            m = np.zeros((rows, len(c)), np.float32)  # noqa: B023
-            m[row[has], at[has]] = sign[has]
-            return m
+    members holds sid, comp, rep, copies and n. The ids are broadcast if few; else both sides shuffle."""
+    want = members.select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"), "comp", "copies")
+    if members.count() <= BROADCAST_ROWS:
+        want = F.broadcast(want)
 
-        out += np.rint(dense(len(one), i, s, u) @ dense(len(two), j, t, v).T).astype(np.int64)
-    return out
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in common.pieces_of(batch, "text", 1 << 20):
+                # an id can come with several texts: the set decides
+                ids = np.array([set_id(s) if len(s) else 0 for s in sets_of(*common.text_bytes(b.column("text")), k)], np.int64)
+                same = pa.array(ids == b.column("want").to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(same) for c in ("want", "comp", "copies", "text")], names=["sid", "comp", "copies", "text"])
 
+    found = docs.join(want, "doc_id").select("want", "comp", "copies", "text")
+    texts = materialize(found.mapInArrow(pick, "sid long, comp long, copies long, text string"), "texts")
+    pivots = texts.where("sid = comp").select("comp", F.col("text").alias("pivot"))
 
-def link_counts(docs: DataFrame, named: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(sid, more): how many rows of other sets each set is linked with; sets without such a link may be missing.
-
-    named holds sid, rep, copies, n and comp. A component's sets are dealt to blocks of bounded size by their own size;
-    every two blocks that sizes leave possible meet in one group of rows."""
-    several = named.groupBy("comp").count().where("count > 1").select("comp")
-    ahead = Window.partitionBy("comp").orderBy("n", "sid").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.greatest(F.col("n").cast("long"), F.lit(BLOCK_MEMBERS // BLOCK_SETS))
-    placed = named.join(several, "comp").withColumn("block", F.floor(F.coalesce(F.sum(weight).over(ahead), F.lit(0)) / BLOCK_MEMBERS))
-    placed = materialize(placed.select("comp", "block", "sid", "rep", "copies", "n"), "blocks")
-    bounds = placed.groupBy("comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x = bounds.select("comp", F.col("block").alias("x"), "high")
-    y = bounds.select("comp", F.col("block").alias("y"), "low")
-    both = x.join(y, "comp").where((F.col("x") <= F.col("y")) & (den * F.col("high").cast("long") >= num * F.col("low").cast("long"))).select("comp", "x", "y")
-    dealt = placed.join(both.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))), ["comp", "block"]).select("comp", "x", "y", "block", "sid", "copies")
-    rows = dealt.join(texts_of(docs, placed.select("sid", "rep"), placed.select("sid"), k), "sid")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, pivot = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for b in common.pieces_of(batch, "text", 1 << 20):
+                rows = []
+                sets = sets_of(*common.text_bytes(b.column("text")), k)
+                for i, (comp, sid, copies) in enumerate(zip(*(b.column(c).to_pylist() for c in ("comp", "sid", "copies")), strict=True)):
+                    if comp != name:
+                        name, pivot = comp, sets_of(*common.text_bytes(b.column("pivot").slice(i, 1)), k)[0]
+                    extra, lacking = np.setdiff1d(sets[i], pivot, assume_unique=True), np.setdiff1d(pivot, sets[i], assume_unique=True)
+                    rows.append((comp, sid, len(sets[i]), copies, len(pivot), len(extra) + len(lacking), extra.tobytes(), lacking.tobytes()))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in DIFFERENCES.split(", ")])
+
+    both = texts.join(pivots, "comp").select("comp", "sid", "copies", "text", "pivot")
+    # rows that repeat an id repeat its set
+    return materialize(both.mapInArrow(differ, DIFFERENCES).dropDuplicates(["sid"]), "differences")
+
+
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def side(extra: list[bytes], lacking: list[bytes], n: np.ndarray, pivot_n: int) -> Side:
+    """Each set's overlap with the pivot, and all differences as (set, member, sign)."""
+    parts = [np.frombuffer(x, np.uint64) for pair in zip(extra, lacking, strict=True) for x in pair]
+    count = np.array([len(x) for x in parts])
+    more, less = count[::2], count[1::2]
+    row = np.repeat(np.repeat(np.arange(len(n)), 2), count)
+    sign = np.repeat(np.tile([1, -1], len(n)), count)
+    return n - more, row, np.concatenate(parts), sign
+
+
+def overlaps(one: Side, two: Side, pivot_n: int, same: bool, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """Exact sizes of the intersections of all sets of one side with all of the other, some rows at a time; where both are
+    the same side, the diagonal is left without meaning.
+
+    |A & B| = |A & P| + |B & P| - |P| + the product of the signed differences of A and B from the pivot P."""
+    (p, i, s, u), (q, j, t, v) = one, two
+    if same:
+        token, many = np.unique(s, return_counts=True)
+        shared = token[many > 1]
+    else:
+        shared = np.intersect1d(s, t)
+
+    def known(row: np.ndarray, token: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(shared):
+            return row[:0], row[:0], sign[:0]
+        at = np.minimum(np.searchsorted(shared, token), len(shared) - 1)
+        has = shared[at] == token
+        return row[has], at[has], sign[has]
+
+    (i, s, u), (j, t, v) = known(i, s, u), known(j, t, v)
+    here, there = np.bincount(s, minlength=len(shared)), np.bincount(t, minlength=len(shared))
+    # members that a good part of the sets differ by go through a matrix product, the rest pair by pair
+    heavy = here * there > max(256, len(p) * len(q) // 32)
+    column = np.cumsum(heavy) - 1
+    order = np.argsort(t, kind="stable")
+    j, t, v = j[order], t[order], v[order]
+    first = np.searchsorted(t, np.arange(len(shared) + 1))
+    dense = [(np.flatnonzero(heavy[s]), i, s, u), (np.flatnonzero(heavy[t]), j, t, v)]
+    begins = np.searchsorted(i, np.arange(0, len(p) + rows, rows))
+    for x in range(0, len(p), rows):
+        out = (p[x : x + rows, None] + q[None] - pivot_n).astype(np.int32)
+        part = np.arange(begins[x // rows], begins[x // rows + 1])
+        light = part[~heavy[s[part]]]
+        many = there[s[light]]
+        to, a = np.concatenate([[0], np.cumsum(many)]), 0
+        while a < len(light):
+            z = max(a + 1, int(np.searchsorted(to, to[a] + (1 << 19), side="right")) - 1)
+            c = many[a:z]
+            k = np.repeat(light[a:z], c)
+            at = np.arange(len(k)) - np.repeat(np.cumsum(c) - c, c) + first[s[k]]
+            np.add.at(out, (i[k] - x, j[at]), (u[k] * v[at]).astype(np.int32))
+            a = z
+        for c in range(0, int(heavy.sum()), 512):
+            two_sides = []
+            for has, row, token, sign in dense:
+                has = has[(column[token[has]] >= c) & (column[token[has]] < c + 512)]
+                if row is i:
+                    has = has[(row[has] >= x) & (row[has] < x + rows)]
+                m = np.zeros((len(out) if row is i else len(q), 512), np.float32)
+                m[row[has] - (x if row is i else 0), column[token[has]] - c] = sign[has]
+                two_sides.append(m)
+            out += np.rint(two_sides[0] @ two_sides[1].T).astype(np.int32)
+        yield x, out
+
+
+def counted(one: tuple, two: tuple | None, num: int, den: int) -> pa.RecordBatch:
+    """(sid, more, least): of two blocks of a group (or of one with itself) each set's linked rows, and a set it hangs
+    together with, the same for all that do."""
+    same = two is None
+    (sid_a, n_a, copies_a, side_a, pivot_n), (sid_b, n_b, copies_b, side_b, _) = one, two or one
+    names = sid_a if same else np.concatenate([sid_a, sid_b])
+    shift = 0 if same else len(sid_a)
+    label, more = np.arange(len(names)), np.zeros(len(names), np.int64)
+    for x, both in overlaps(side_a, side_b, pivot_n, same):
+        ok = den * both.astype(np.int64) >= num * (n_a[x : x + len(both), None] + n_b[None] - both)
+        if same:
+            ok[np.arange(len(both)), np.arange(x, x + len(both))] = False
+        more[x : x + len(both)] += np.where(ok, copies_b[None], 0).sum(1)
+        if not same:
+            more[shift:] += np.where(ok, copies_a[x : x + len(both), None], 0).sum(0)
+        for r in np.flatnonzero(ok.any(1)).tolist():
+            lab = label[shift + np.flatnonzero(ok[r])]
+            low, high, mine = int(lab.min()), int(lab.max()), int(label[x + r])
+            if low != high or low != mine:
+                label[np.isin(label, np.append(lab, mine))] = min(low, mine)
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(more), pa.array(names[label])], names=["sid", "more", "least"])
+
+
+def exact_links(apart_: DataFrame, num: int, den: int) -> DataFrame:
+    """(sid, more, least), a row for each set and other block of its group: linked rows there, and a set it hangs together
+    with. A group's sets are dealt to blocks of bounded size; every two blocks meet in one task."""
+    spark = apart_.sparkSession
+    weight = F.greatest("weight", F.lit(BLOCK_DIFFERENCES // BLOCK_SETS))
+    wide = apart_.groupBy("comp").agg(F.ceil(F.sum(weight) / BLOCK_DIFFERENCES).cast("int").alias("blocks")).where("blocks > 1")
+    wide = materialize(wide, "wide-groups")
+    if wide.count() <= BROADCAST_ROWS:
+        wide = F.broadcast(wide)
+    dealt = apart_.join(wide, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("comp", "sid", "n", "copies", "pivot_n", "extra", "lacking", "block", other)
     keys = ["comp", "x", "y"]
-    rows = rows.select(*keys, "block", "sid", "copies", "text").repartition(parts, *keys).sortWithinPartitions(*keys, "block", "sid")
-
-    def counted(key: tuple, held: list[tuple]) -> pa.RecordBatch:
-        one, two = ([h for h in held if h[0] == block] for block in key[1:])
-        overlap = overlaps([h[3] for h in one], [h[3] for h in two])
-        na, nb = (np.array([len(h[3]) for h in side]) for side in (one, two))
-        ok = den * overlap >= num * (na[:, None] + nb[None] - overlap)
-        if key[1] == key[2]:
-            np.fill_diagonal(ok, False)
-        sid, more = [h[1] for h in one], ok @ np.array([h[2] for h in two])
-        if key[1] != key[2]:
-            sid, more = sid + [h[1] for h in two], np.concatenate([more, np.array([h[2] for h in one]) @ ok])
-        return pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(more, pa.int64())], names=["sid", "more"])
+    dealt = dealt.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sid", "n", "copies", "pivot_n", "extra", "lacking")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "block", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
-        for batch in batches:
-            for b in common.pieces_of(batch, "text", 1 << 20):
-                named_ = zip(*(b.column(c).to_pylist() for c in [*keys, "block", "sid", "copies"]), sets_of(*common.text_bytes(b.column("text")), k), strict=True)
-                for *key, block, sid, copies, members in named_:
-                    if key != last:
-                        if held:
-                            yield counted(last, held)
-                        last, held = key, []
-                    held.append((block, sid, copies, members))
-        if held:
-            yield counted(last, held)
+        for r, begins in runs(batches, keys, least=2000):
+            for a, z in zip(begins.tolist(), np.append(begins, len(r["sid"]))[1:].tolist(), strict=True):
+                cut = a + int(np.searchsorted(r["block"][a:z], r["x"][a], side="right"))
+                blocks = []
+                for f, t in ((a, cut), (cut, z)):
+                    if t > f:
+                        n, pivot_n = r["n"][f:t].astype(np.int64), int(r["pivot_n"][f])
+                        blocks.append((r["sid"][f:t], n, r["copies"][f:t], side(r["extra"][f:t], r["lacking"][f:t], n, pivot_n), pivot_n))
+                if r["x"][a] == r["y"][a]:
+                    yield counted(blocks[0], None, num, den)
+                elif len(blocks) == 2:
+                    yield counted(*blocks, num, den)
 
-    return rows.mapInArrow(run, "sid long, more long").groupBy("sid").agg(F.sum("more").alias("more"))
+    return dealt.mapInArrow(run, "sid long, more long, least long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) under Jaccard >= num / den.
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False, part_entries: int = PART_ENTRIES) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach) under Jaccard >= num / den, 1/2 at least.
 
     With links also n_links: how many other rows reach that similarity (null for a null id, 0 without shingles)."""
+    if 2 * num < den:
+        raise ValueError("sketches need a similarity of 1/2 at least")
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(rows, k, num, den, common_shingles(rows, k, tail)), "signatures")
     own = signed.where("pos < 0").select("doc_id", "sid", "n", "bits")
-    reps = materialize(own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
-    answers = materialize(first_answers(signed.where("pos >= 0"), num, den), "answers")
-    entries = answers.where("b is null").select("token", "pos", "n", F.col("a").alias("sid"))
-    done = None
-    comp: DataFrame | None = None
-    pairs = materialize(screened(answers.where("b is not null").select("a", "b").distinct(), reps, num, den), "pairs")
-    # Each turn joins components through one partner a set, in another order; when a turn finds no link, or after
-    # the last, all pairs left between components are looked at, which ends it.
-    turn = 1
-    while True:
-        found = 0
-        if pairs.limit(1).count():
-            sids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-            links = materialize(verified(pairs, texts_of(rows, reps.select("sid", "rep"), sids, k), k, num, den), "links")
-            found = links.count()
-            comp = relabel(comp, links) if found else comp
-            done = pairs if done is None else done.unionAll(pairs)
-        if turn == 0:
-            break
-        turn = 0 if turn > TURNS or turn > 1 and not found else turn
-        lists = entries
-        if comp is not None:
-            lists = entries.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-            # lists within one component have nothing left to ask
-            open_ = lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-            lists = lists.join(open_, "token", "left_semi")
-        else:
-            lists = entries.withColumn("comp", F.col("sid"))
-        answers = materialize(later_answers(lists.join(reps.select("sid", "bits"), "sid"), num, den, turn), "answers")
-        more = answers.where("b is not null").select("a", "b").distinct()
-        if done is not None:
-            more = more.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(more, "pairs")
-        entries = answers.where("b is null").select("token", "pos", "n", F.col("a").alias("sid"))
-        turn = turn + 1 if turn else 0
-    reps = reps.select("sid", "rep", "copies", "n")
-    named = reps.withColumn("comp", F.col("sid")) if comp is None else reps.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    named = materialize(named, "named")
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
-    few = named.join(least.where("members > 1"), "comp").select("sid", "component_id", "copies")
-    if links:
-        few = few.join(link_counts(rows, named, k, num, den), "sid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("more", F.lit(0)))
-        few = materialize(few.select("sid", "component_id", "n_links"), "link-counts")
+    sets = materialize(own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    few = sets.select("sid", "rep", "copies")
+    groups = candidate_groups(signed, sets, num, den, part_entries)
+    comp = None
+    if groups is not None:
+        members = materialize(few.join(groups, "sid"), "members")
+        found = materialize(exact_links(differences(rows, members, k), num, den), "links")
+        comp = components(found.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
+        if links:
+            few = few.join(found.groupBy("sid").agg(F.sum("more").alias("more")), "sid", "left")
+    if comp is not None:
+        named = few.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        least = few.join(comp, "sid").groupBy("comp").agg(F.min("rep").alias("least"))
+        few = named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "rep"))
     else:
-        few = few.select("sid", "component_id")
+        few = few.withColumn("component_id", F.col("rep"))
+    if links:
+        few = few.withColumn("n_links", F.col("copies") - 1 + (F.coalesce("more", F.lit(0)) if groups is not None else F.lit(0)))
+    few = materialize(few.where("copies > 1 or component_id <> rep" + (" or n_links > 0" if links else "")).select("sid", "component_id", *(["n_links"] if links else [])), "named")
     # a set that a third of the rows share: its rows are dealt by salt, and the sets' small side to every salt
-    salts = 8
+    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = own.select("doc_id", "sid", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     out = left.join(right, ["sid", "salt"], "left")

@@ -215,10 +215,11 @@ def test_word_vectors_read_every_row():
     assert not np.allclose(got[bucket], bare[bucket] / 2)
 
 
-@pytest.mark.parametrize("members", [1 << 18, 2048])
-def test_jaccard_links(spark, monkeypatch, members):
-    # 2048: many blocks a component
-    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", members)
+@pytest.mark.parametrize("weight, part", [(1 << 18, 1 << 16), (512, 20)])
+def test_jaccard_links(spark, monkeypatch, weight, part):
+    # 512 and 20: many blocks a group, many parts a list
+    monkeypatch.setattr(jaccard_join, "BLOCK_DIFFERENCES", weight)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
     rng = np.random.default_rng(1)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 40, 60)) for _ in range(4)]
     rows = [(0, None), (1, ""), (2, "one"), (3, "One"), (3, "one"), (None, "one")]
@@ -230,15 +231,70 @@ def test_jaccard_links(spark, monkeypatch, members):
     rows += [(200, base[0]), (201, base[0]), (202, base[0].upper())]
     s = [sets(t, 3) if i is not None else set() for i, t in rows]
     want = sorted((i, sum(bool(j != k and a and b and 10 * len(a & b) >= 8 * len(a | b)) for k, b in enumerate(s))) for j, ((i, _), a) in enumerate(zip(rows, s, strict=True)) if i is not None)
-    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100, links=True).collect()
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100, links=True, part_entries=part).collect()
     assert sorted((r["doc_id"], r["n_links"]) for r in got if r["doc_id"] is not None) == want
     assert [r["n_links"] for r in got if r["doc_id"] is None] == [None] and max(n for _, n in want) > 20
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 40, 100)
 
 
 def test_overlaps():
     rng = np.random.default_rng(2)
-    one, two = ([np.unique(rng.integers(0, 20_000, n)).astype(np.uint64) for n in sizes] for sizes in ((5, 900, 9000), (1, 800, 12_000, 30)))
-    assert jaccard_join.overlaps(one, two).tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
+    pivot = np.unique(rng.integers(0, 2000, 900)).astype(np.uint64)
+    noise = rng.integers(0, 2000, 300).astype(np.uint64)
+    made = [np.unique(np.concatenate([pivot[rng.random(len(pivot)) < 0.8], noise[rng.random(300) < 0.3], rng.integers(0, 9000, 5).astype(np.uint64)])) for _ in range(90)]
+
+    def packed(sets_):
+        n = np.array([len(x) for x in sets_])
+        return jaccard_join.side([np.setdiff1d(x, pivot).tobytes() for x in sets_], [np.setdiff1d(pivot, x).tobytes() for x in sets_], n, len(pivot))
+
+    one, two = made[:50], made[50:]
+    got = np.concatenate([x for _, x in jaccard_join.overlaps(packed(one), packed(two), len(pivot), False, rows=16)])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
+    got = np.concatenate([x for _, x in jaccard_join.overlaps(packed(one), packed(one), len(pivot), True, rows=16)])
+    want = np.array([[len(np.intersect1d(a, b)) for b in one] for a in one])
+    off = ~np.eye(50, dtype=bool)
+    assert (got[off] == want[off]).all()
+
+
+def test_partnered():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        t, n = np.sort(rng.integers(0, 6, 80)), rng.integers(1, 40, 80)
+        pos = (rng.random(80) * (n // 8 + 1)).astype(np.int64)
+        order = np.lexsort((pos, n, t))
+        t, n, pos = t[order], n[order], pos[order]
+        ok = jaccard_join.reach(n[:, None], pos[:, None], n[None], pos[None], 90, 100) & (t[:, None] == t[None])
+        np.fill_diagonal(ok, False)
+        assert (jaccard_join.partnered(t, n, pos, 90, 100, most=64) == ok.any(1)).all()
+
+
+def test_grouped():
+    """Each pair whose sketches and positions leave it possible ends in one group, and no other set joins them."""
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 2**63, m).astype(np.uint64) for m in (250, 260, 500, 540)]
+    sets_ = []
+    for i in range(120):
+        b = base[i % 4]
+        sets_.append(np.unique(np.concatenate([b[: len(b) - int(rng.integers(0, 25))], rng.integers(0, 2**63, int(rng.integers(0, 14))).astype(np.uint64)])))
+    n, pos = np.array([len(x) for x in sets_]), rng.integers(0, 20, 120)
+    bits = np.array([jaccard_join.sketch(x) for x in sets_], object)
+    label = np.arange(120)
+    edges = jaccard_join.grouped(pos, n, bits, label, 90, 100)
+    levels, want = jaccard_join.level(n), np.arange(120)
+    for i in range(120):
+        for j in range(i):
+            low = int(min(levels[i], levels[j]))
+            if max(levels[i], levels[j]) > 2 * low or not jaccard_join.reach(n[i], pos[i], n[j], pos[j], 90, 100):
+                continue
+            x, y = jaccard_join.folded(bits[[i, j]], low)
+            if np.bitwise_count(x ^ y).sum() <= jaccard_join.apart(n[i], n[j], 90, 100):
+                want[want == max(want[i], want[j])] = min(want[i], want[j])
+    assert label.tolist() == want.tolist() and 2 < len(set(want.tolist())) < 60
+    from_edges = np.arange(120)
+    for i, j in edges:
+        from_edges[from_edges == max(from_edges[i], from_edges[j])] = min(from_edges[i], from_edges[j])
+    assert from_edges.tolist() == want.tolist()
 
 
 def test_full_licenses(spark):
