@@ -70,7 +70,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a written table in the shared folder: it outlives any executor."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    # nothing looks for the marker file of a table that is read at once, by its schema
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
