@@ -74,7 +74,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     from cladeflow.operators.predictions import simple_lca
 
     def make() -> DataFrame:
-        p = simple_lca(resolved(spark, sf)).where("support > 0")
+        p = simple_lca(resolved(spark, sf))
         n = pruned(spark, sf).nodes.select("taxid", F.col("lineage").alias("lower_lineage"), F.col("depth").alias("upper_depth"))
         p = p.join(n, "taxid").withColumns({"support": F.array("support"), "ordinal": F.col("feature_begin"), "bin_id": F.col("query_id")})
         return materialize(p, "predictions")

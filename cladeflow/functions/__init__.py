@@ -16,6 +16,16 @@ def field(text: Column, delimiter: str, n: int) -> Column:
     return F.get(F.split(text, delimiter), F.lit(n))
 
 
+def fields(text: Column, delimiter: str = "\t", n: int = 0, tail: bool = True) -> Column:
+    """The first n fields (0: all) and the rest of the line, which is there even if it is empty; without tail an empty rest goes."""
+    parts = F.split(text, "\\Q" + delimiter + "\\E", n + 1 if n else -1)
+    last = F.element_at(parts, -1) == ""
+    if not tail:
+        return F.when(last, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    short = ~last & (F.size(parts) <= n) if n else ~last
+    return F.when(short, F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+
 def first_word(text: Column) -> Column:
     return F.regexp_extract(text, r"^(\S*)", 1)
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions import common_prefix, glob_id, pid
-from cladeflow.plans.taxonomy import Taxonomy, distances
 
 KEYS = ["query_id"]
 
@@ -127,14 +126,18 @@ def same_taxon(df: DataFrame, mapping: DataFrame, regex: str) -> DataFrame:
 def cleanse(df: DataFrame, t1: float, t2: float, keys: list[str] = KEYS) -> DataFrame:
     """Rows far from the core, which are the rows within t1 of the best score: half the score's and half the tree's distance.
 
-    Needs `lineage`. The core meets its own record set only."""
+    Needs `lineage`, and ordinals that are unique in a record set. The steps from a row down from what it shares with each
+    core row are its depth for each, less the core's count on every node of its own path: no row meets the core's rows."""
     df = df.withColumn("_best", F.max(open_score()).over(group(keys)))
     core = (~F.col("masked")) & (F.col("score") >= band(F.col("_best"), t1))
     df = df.withColumn("_core", F.coalesce(core, F.lit(False)))
-    df = df.withColumn("_paths", F.collect_list(F.when(F.col("_core"), F.col("lineage"))).over(group(keys)))
-    far = F.aggregate("_paths", F.lit(0), lambda n, x: n + distances(x, F.col("lineage"))["down"])
-    d = ((1 - F.col("score") / F.col("_best")) + far / (F.size("_paths") * 7)) / 2
-    return mask(df, ~F.col("_core") & (d > t2)).drop("_best", "_core", "_paths")
+    df = df.withColumn("_n", F.sum(F.col("_core").cast("int")).over(group(keys)))
+    on_node = df.where("_core").select(*keys, F.explode("lineage").alias("_node")).groupBy(*keys, "_node").agg(F.count("*").alias("_c"))
+    shared = df.where("not _core").select(*keys, "ordinal", F.explode("lineage").alias("_node")).join(on_node, [*keys, "_node"]).groupBy(*keys, "ordinal").agg(F.sum("_c").alias("_shared"))
+    df = df.join(shared, [*keys, "ordinal"], "left")
+    far = F.col("_n") * F.size("lineage") - F.coalesce("_shared", F.lit(0))
+    d = ((1 - F.col("score") / F.col("_best")) + far / (F.col("_n") * 7)) / 2
+    return mask(df, ~F.col("_core") & (d > t2)).drop("_best", "_core", "_n", "_shared")
 
 
 def redundant(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.operators import filters
+from cladeflow.operators import filters, rpa
 from cladeflow.plans.taxonomy import Taxonomy, classified, lca_agg, lcc_fold
 
 KEYS = ["query_id", "group_no", "segment_no"]
 
 
-def _frame(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.max("query_length").alias("seqlen"), F.min("query_start").alias("_first"))
-
-
 def dummy(df: DataFrame, root: str = "1", keys: list[str] = KEYS) -> DataFrame:
     """The root without support over the whole query."""
     g = df.groupBy(*keys).agg(F.max("query_length").alias("seqlen"))
@@ -78,10 +74,20 @@ def n_best_lca(df: DataFrame, n: int = 1, root: str = "1", keys: list[str] = KEY
     return simple_lca(filters.n_best(df, n, keys), root, keys)
 
 
-def predict(df: DataFrame, tax: Taxonomy, method: str, **kw) -> DataFrame:
-    """Resolve `taxid` and predict every segment."""
-    df = tax.resolve(df.withColumnRenamed("taxid", "ref_taxid"), "ref_taxid")
-    return {"dummy": dummy, "simple-lca": simple_lca, "megan-lca": megan_lca, "ic-megan-lca": megan_lca, "n-best-lca": n_best_lca}[method](df, **kw)
+def predict(df: DataFrame, tax: Taxonomy, method: str = "rpa", **kw) -> DataFrame:
+    """Resolve `taxid` and predict every segment. rpa takes queries and references, and gives ranges; point_ranges() makes
+    ranges of the others' nodes."""
+    df = tax.resolve(df, "taxid")
+    methods = {"dummy": dummy, "simple-lca": simple_lca, "megan-lca": megan_lca, "ic-megan-lca": megan_lca, "n-best-lca": n_best_lca, "rpa": rpa.place}
+    if method not in methods:
+        raise ValueError(f"no prediction method {method!r}: one of {', '.join(methods)}")
+    return methods[method](df, **kw)
+
+
+def point_ranges(df: DataFrame, tax: Taxonomy) -> DataFrame:
+    """Predicted nodes as ranges of one node: lower_lineage, upper_depth and a support array."""
+    n = tax.nodes.select("taxid", F.col("lineage").alias("lower_lineage"), F.col("depth").alias("upper_depth"))
+    return df.join(n, "taxid").withColumns({"support": F.array("support"), "ival": F.lit(1.0)})
 
 
 # ranges: lower_lineage, upper_depth, support array from the upper to the lower node

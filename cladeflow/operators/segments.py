@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import glob_id
 
+#: Ordinals of one span, in which rows are followed in order.
+SPAN = 1 << 16
 
 def segment(df: DataFrame, split: bool = True, presorted: bool = False, consecutive: bool = False) -> DataFrame:
     """Add group_no and segment_no. A segment ends where the next row starts beyond all stops so far.
 
-    consecutive starts a new group whenever the query changes in input order, which needs one global order;
-    by default a query is one group and everything stays within it."""
+    consecutive starts a new group whenever the query changes in input order: the order is followed within spans of
+    ordinals, and one row for each span joins them. By default a query is one group and everything stays within it."""
     if consecutive:
-        w = Window.orderBy("ordinal")
-        new = F.coalesce(F.col("query_id") != F.lag("query_id").over(w), F.lit(True)).cast("int")
-        df = df.withColumn("_new", new).withColumn("group_no", F.sum("_new").over(w)).drop("_new")
+        df = df.withColumn("_span", F.floor(F.col("ordinal") / SPAN))
+        w = Window.partitionBy("_span").orderBy("ordinal")
+        new = F.coalesce(F.col("query_id") != F.lag("query_id").over(w), F.lit(False)).cast("int")
+        df = df.withColumn("_new", new).withColumn("_in", F.sum("_new").over(w))
+        spans = df.groupBy("_span").agg(F.min_by("query_id", "ordinal").alias("first"), F.max_by("query_id", "ordinal").alias("last"), F.max("_in").alias("changes"))
+        w = Window.orderBy("_span")
+        begins = F.coalesce(F.col("first") != F.lag("last").over(w), F.lit(True)).cast("int")
+        spans = spans.withColumn("_begins", begins).withColumn("_before", F.sum(F.col("_begins") + F.col("changes")).over(w) - F.col("changes"))
+        df = df.join(spans.select("_span", "_before"), "_span").withColumn("group_no", F.col("_before") + F.col("_in")).drop("_span", "_new", "_in", "_before")
     else:
         df = df.withColumn("group_no", F.lit(1).cast("long"))
     if not split:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.plans.taxonomy import Taxonomy, annotate
+from cladeflow.plans.taxonomy import Taxonomy, annotate, lca_agg
 
 
 def vprofile(bins: DataFrame, tax: Taxonomy) -> DataFrame:
@@ -34,6 +34,12 @@ def rollup(rows: DataFrame) -> DataFrame:
     return part.groupBy("dataset", "x.prefix").agg(F.sum("magnitude").alias("magnitude"), F.count("*").alias("n"), F.sum(F.when(F.col("x.k") == F.col("n"), F.col("magnitude")).otherwise(0)).alias("unassigned"))
 
 
+def krona_lca(rows: DataFrame, tax: Taxonomy, keys: list[str], root: str = "1") -> DataFrame:
+    """The lowest common ancestor of each group's taxids; unknown ones count as the root."""
+    path = F.coalesce("lineage", F.array(F.lit(root)))
+    return tax.resolve(rows, "taxid", missing="keep").withColumn("lineage", path).groupBy(*keys).agg(F.element_at(lca_agg(F.col("lineage")), -1).alias("lca"))
+
+
 def summaries(bins: DataFrame, tax: Taxonomy) -> dict[str, DataFrame]:
     s = taxsummary(bins, tax)
     return {"vprofile": vprofile(bins, tax), "taxpath": taxpath(bins, tax), "taxsummary": s, "krona": krona(s)}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cladeflow.functions import common_prefix
+from cladeflow.functions import common_prefix, fields
 from cladeflow.runtime import materialize
 
 #: The ranks that are marked unless others are asked for.
@@ -156,6 +156,17 @@ def annotate(df: DataFrame, tax: Taxonomy, col: str, what: str, all_nodes: bool
     return j.withColumn(f"_{what}", F.coalesce(value, F.lit(invalid)) if invalid is not None else value).select(*df.columns, F.col(f"_{what}").alias(f"taxon_{what}"))
 
 
+def by_field(lines: DataFrame, field: int, edit) -> DataFrame:
+    """A column `value` of tab-separated lines with one field, from 1, replaced by edit(DataFrame with `taxid`), which names what
+    replaces it `taxid`; lines that edit drops, comments, blank lines and lines without the field go. A line that ends with the
+    field gets a tab behind it."""
+    f = fields(F.col("value"), "\t", field)
+    df = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("_f", f).where(F.size("_f") >= field)
+    df = edit(df.withColumn("taxid", F.get("_f", F.lit(field - 1))))
+    cells = F.transform("_f", lambda x, i: F.when(i == field - 1, F.col("taxid")).otherwise(x))
+    return df.select(F.array_join(cells, "\t").alias("value"))
+
+
 def newick(df: DataFrame, tax: Taxonomy, col: str, ranks: tuple[str, ...] = RANKS, names: bool = False, fill: bool = False) -> DataFrame:
     """The subtree of some taxids at some ranks in Newick form, built bottom-up, one aggregation per depth; children in order of taxid.
 
@@ -164,7 +175,8 @@ def newick(df: DataFrame, tax: Taxonomy, col: str, ranks: tuple[str, ...] = RANK
     steps = F.filter(F.arrays_zip("lineage", "ranks", "names"), lambda x: x["ranks"].isin(*ranks))
     label = "names" if names else "lineage"
     if fill:
-        by = [F.filter(steps, lambda x, r=r: x["ranks"] == r) for r in ranks]
+        of_rank = lambda rank: F.filter(steps, lambda x: x["ranks"] == rank)
+        by = [of_rank(r) for r in ranks]
         path = F.array(*[F.coalesce(F.get(b, F.size(b) - 1)[label], F.lit("")) for b in by])
         path = F.slice(path, F.lit(1), F.array_max(F.transform(F.sequence(F.lit(1), F.lit(len(ranks))), lambda i: F.when(F.get(path, i - 1) != "", i).otherwise(0))))
     else:

@@ -42,17 +42,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A folder of this application below ``spark.checkpoint.dir``, deleted when Python ends; where that is unset, a local
+    one in local mode, and an error on a cluster, whose executors share no local folder."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(base)
             atexit.register(_remove_local, base.removeprefix("file://"))
         if "://" not in base and not base.startswith("file:"):
             base = "file://" + os.path.abspath(base)
         _roots[app] = f"{base.rstrip('/')}/cladeflow-{app}"
+        atexit.register(_remove_shared, spark, _roots[app])
     return _roots[app]
 
 
@@ -62,6 +66,11 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def _remove_shared(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped before
+        drop_path(spark, path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -58,7 +58,7 @@ def blasttab_lines(df: DataFrame) -> DataFrame:
     """Tabular search results from alignments: identity in per cent, mismatches, gap openings from the cigar."""
     cigar = F.coalesce(F.col("cigar"), F.lit("")) if "cigar" in df.columns else F.lit("")
     gaps = F.length(cigar) - F.length(F.translate(cigar, "ID", ""))
-    pct = F.format_string("%.2f", 100.0 * F.col("identities") / F.col("aln_length"))
+    pct = F.format_string("%.2f", F.bround(100.0 * F.col("identities") / F.col("aln_length"), 2))
     cols = ["query_id", "ref_id", pct, "aln_length", F.col("aln_length") - F.col("identities"), gaps, "query_start", "query_stop", "ref_start", "ref_stop", "evalue", "score"]
     return df.select(F.concat_ws("\t", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]).alias("value"))
 
@@ -90,14 +90,31 @@ def read_taxonomy_edges(spark: SparkSession, folder: str | None = None) -> DataF
     return nodes.join(names, "taxid", "left")
 
 
+def read_taxonomy_version(spark: SparkSession, folder: str | None = None) -> str:
+    """The first line of a dump's version.txt; empty without that file."""
+    folder = folder or os.environ[TAXONOMY_VARIABLE]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version.txt")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return ""
+    row = spark.read.text(f"{folder}/version.txt").first()
+    return row["value"] if row else ""
+
+
 def write_taxonomy(edges: DataFrame, folder: str) -> None:
     edges.select(F.concat_ws("\t|\t", "taxid", "parent_taxid", F.concat(F.col("rank"), F.lit("\t|"))).alias("value")).write.text(f"{folder}/nodes.dmp")
     edges.select(F.concat_ws("\t|\t", "taxid", "name", F.lit(""), F.lit("scientific name\t|")).alias("value")).write.text(f"{folder}/names.dmp")
 
 
+def fasta_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records without their leading >, with an ordinal that grows within a file."""
+    df = spark.read.option("lineSep", "\n>").text(path).withColumn("ordinal", F.monotonically_increasing_id())
+    return df.withColumn("value", F.regexp_replace("value", "^>", ""))
+
+
 def read_fasta(spark: SparkSession, path: str, whitelist: DataFrame | None = None, whole_header: bool = False) -> DataFrame:
-    """seq_id, seq; of repeated ids the last counts. Records are split by the reader, so a file is read in parallel."""
-    df = spark.read.option("lineSep", ">").text(path).withColumn("ordinal", F.monotonically_increasing_id()).where(F.length(F.trim("value")) > 0)
+    """seq_id, seq; of repeated ids the last counts. Records begin with > at the start of a line; the reader splits them, so
+    a file is read in parallel."""
+    df = fasta_records(spark, path).where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     df = df.select("ordinal", (head if whole_header else F.regexp_extract(head, r"^(\S*)", 1)).alias("seq_id"), seq.alias("seq"))
@@ -105,26 +122,83 @@ def read_fasta(spark: SparkSession, path: str, whitelist: DataFrame | None = Non
     return df if whitelist is None else df.join(whitelist.select(F.col("id").alias("seq_id")), "seq_id", "left_semi")
 
 
+def strip_identifiers(df: DataFrame, col: str = "seq_id") -> DataFrame:
+    """Identifiers cut to their first word; two that become one are an error."""
+    word = F.regexp_extract(F.col(col), r"^(\S*)", 1)
+    df = df.withColumn(col, word)
+    several = F.count("*").over(Window.partitionBy(col)) > 1
+    return df.withColumn(col, F.when(several, F.raise_error(F.concat(F.lit("identifier comes again: "), F.col(col))).cast("string")).otherwise(F.col(col)))
+
+
 def write_fasta(df: DataFrame, path: str, width: int = 60) -> None:
     wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
     df.select(F.concat(F.lit(">"), "seq_id", F.lit("\n"), wrapped).alias("value")).write.text(path)
 
 
-def build_fai(spark: SparkSession, path: str) -> DataFrame:
-    """Name, length, offset, bases and bytes per line of each record of one FASTA file; unequal lines are an error."""
-    df = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
-    row = F.explode(F.split("t", "(?m)^>")).alias("r")
-    recs = df.select(F.posexplode(F.split("t", "(?m)^>")).alias("i", "r"))
-    w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    recs = recs.withColumn("_before", F.coalesce(F.sum(F.octet_length("r") + 1).over(w), F.lit(0)) - 1 + 1)
-    del row
-    body = F.filter(F.split(F.regexp_replace("r", r"^[^\n]*\n", ""), "\n"), lambda x: x != "")
-    recs = recs.where("r <> ''").withColumn("_l", body)
-    bases = F.length(F.get("_l", F.lit(0)))
-    fine = F.forall(F.slice("_l", F.lit(1), F.greatest(F.size("_l") - 1, F.lit(0))), lambda x: F.length(x) == bases)
-    name = F.regexp_extract("r", r"^(\S*)", 1)
+def build_fai(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Name, length, offset, bases and bytes per line of each record of FASTA files, and the file; unequal lines are an error.
+
+    Records are read in parallel. An offset is the bytes of the records before: within the reader's split, and of the splits
+    before, which are one row each."""
+    df = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ordinal"))
+    df = df.withColumn("bytes", F.octet_length("value") + 2)
+    blocks = df.groupBy("file", "block").agg(F.sum("bytes").alias("in_block"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("at", before(Window.partitionBy("file").orderBy("block"), "in_block")).drop("in_block")
+    df = df.withColumn("within", before(Window.partitionBy("file", "block").orderBy("ordinal"), "bytes")).join(blocks, ["file", "block"])
+    lines_ = F.split("value", "\n")
+    df = df.where(F.trim(F.regexp_replace("value", r"[>\s]", "")) != "").select(
+        "file", (F.col("at") + F.col("within")).alias("start"), F.get(lines_, F.lit(0)).alias("head"),
+        F.filter(F.slice(lines_, F.lit(2), F.greatest(F.size(lines_) - 1, F.lit(0))), lambda x: F.rtrim(x) != "").alias("_l"),
+    )
+    strip = lambda x: F.regexp_replace(x, r"\r$", "")
+    bases = F.coalesce(F.length(strip(F.get("_l", F.lit(0)))), F.lit(0))
+    fine = F.forall(F.slice("_l", F.lit(1), F.greatest(F.size("_l") - 1, F.lit(0))), lambda x: F.length(strip(x)) == bases)
+    name = F.regexp_extract("head", r"^>?(\S*)", 1)
     checked = F.when(fine, name).otherwise(F.raise_error(F.concat(F.lit("unequal lines in "), name)).cast("string"))
-    return recs.select(checked.alias("name"), F.aggregate("_l", F.lit(0), lambda n, x: n + F.length(x)).alias("length"), (F.col("_before") + F.octet_length(F.regexp_extract("r", r"^([^\n]*\n)", 1))).alias("offset"), bases.alias("line_bases"), (bases + 1).alias("line_bytes"))
+    width = F.coalesce(F.octet_length(F.get("_l", F.lit(0))) + 1, F.lit(0))
+    length = F.aggregate("_l", F.lit(0), lambda n, x: n + F.length(strip(x)))
+    return df.select(checked.alias("name"), length.alias("length"), (F.col("start") + F.octet_length("head") + 1).alias("offset"), bases.alias("line_bases"), width.alias("line_bytes"), "file")
+
+
+def write_fai(index: DataFrame, path: str) -> None:
+    cols = ["name", "length", "offset", "line_bases", "line_bytes"]
+    index.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in cols]).alias("value")).write.text(path)
+
+
+def read_fai(spark: SparkSession, path: str, file: str) -> DataFrame:
+    """The index of one FASTA file."""
+    f = F.split("value", "\t")
+    cols = [("name", "string"), ("length", "int"), ("offset", "bigint"), ("line_bases", "int"), ("line_bytes", "int")]
+    return lines(spark, path).select(*[F.get(f, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(cols)], F.lit(file).alias("file"))
+
+
+def read_regions(regions: DataFrame, index: DataFrame) -> DataFrame:
+    """regions (name, begin, end: from 0, the end left out) with their sequences, held to the record; only their bytes are read.
+
+    Unknown names are dropped. Files must be on a store that pyarrow reads."""
+    begin = F.least(F.greatest("begin", F.lit(0)), "length").cast("long")
+    end = F.least(F.greatest(F.col("end"), begin), F.col("length")).cast("long")
+    df = regions.join(index, "name").select("name", "begin", "end", "file", begin.alias("a"), end.alias("z"), "offset", "line_bases", "line_bytes")
+    place = lambda p: F.when(F.col("line_bases") > 0, F.col("offset") + F.floor(F.col(p) / F.col("line_bases")) * F.col("line_bytes") + F.col(p) % F.col("line_bases")).otherwise(F.col("offset"))
+    df = df.select("name", "begin", "end", "file", (F.col("z") - F.col("a")).alias("n"), place("a").alias("at"), place("z").alias("to")).repartition("file").sortWithinPartitions("file", "at")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        name, handle = None, None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["file"] != name:
+                    store, where = fs.FileSystem.from_uri(r["file"])
+                    name, handle = r["file"], store.open_input_file(where)
+                handle.seek(r["at"])
+                out.append(b"".join(handle.read(r["to"] - r["at"]).split())[: r["n"]].decode() if r["n"] else "")
+            yield pa.RecordBatch.from_arrays([b.column("name"), b.column("begin"), b.column("end"), pa.array(out, pa.string())], names=["name", "begin", "end", "seq"])
+
+    return df.mapInArrow(run, "name string, begin long, end long, seq string")
 
 
 GFF_HEAD = "##gff-version 3"
@@ -138,10 +212,11 @@ def gff3_lines(df: DataFrame, tax_text: Column, source: str = "cladeflow") -> Da
 
 
 def write_gff3(df: DataFrame, tax_text: Column, path: str, source: str = "cladeflow") -> None:
-    """Every part file starts with the version line, which readers skip as a comment."""
+    """Every part file with rows starts with the version line, which readers skip as a comment."""
     body = gff3_lines(df, tax_text, source)
-    head = df.sparkSession.createDataFrame([(GFF_HEAD,)], "value string")
-    head.unionAll(body).write.text(path)
+    # the low bits count a partition's rows
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    body.select(F.concat(F.when(first, F.lit(GFF_HEAD + "\n")).otherwise(""), "value").alias("value")).write.text(path)
 
 
 def read_predictions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -156,19 +231,46 @@ def read_predictions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def write_bioboxes(df: DataFrame, path: str, sample_id: str, taxonomy_version: str = "", prefix: str = "Cladeflow") -> None:
-    """A binning table with its header block: one file, as the format wants. Own columns are named by the prefix."""
+#: The column names of a binning table's layouts.
+LAYOUTS = {"taxid": ("TaxID",), "binid": ("BinID",), "taxid_binid": ("TaxID", "BinID")}
+
+
+def write_bioboxes(df: DataFrame, path: str, sample_id: str, taxonomy_version: str = "", prefix: str = "Cladeflow", layout: str = "taxid", tags: dict[str, str] | None = None, extra: dict[str, str] | None = None) -> None:
+    """A binning table with its header block: one file, as the format wants. Own columns and header tags are named by the
+    prefix; extra maps the names of own columns to df's (support and length unless others are given)."""
     spark = df.sparkSession
-    head = ["@Version:0.9.0", f"@SampleID:{sample_id}", *([f"@TaxonomyID:{taxonomy_version}"] if taxonomy_version else []), f"@@SequenceID\tTAXID\t_{prefix}_Support\t_{prefix}_Length"]
+    extra = {"Support": "support", "Length": "length"} if extra is None else extra
+    columns = [{"TaxID": "taxid", "BinID": "bin_id"}[x] for x in LAYOUTS[layout]]
+    head = [
+        "@Version:0.9.0", f"@SampleID:{sample_id}", *([f"@TaxonomyID:{taxonomy_version}"] if taxonomy_version else []), *(f"@_{prefix}_{k}:{v}" for k, v in (tags or {}).items()),
+        "\t".join(["@@SequenceID", *LAYOUTS[layout], *(f"_{prefix}_{x}" for x in extra)]),
+    ]
     top = spark.createDataFrame([(i, x) for i, x in enumerate(head)], "o long, value string")
-    body = df.select(F.lit(len(head)).cast("long").alias("o"), F.concat_ws("\t", "sequence_id", "taxid", F.col("support").cast("string"), F.col("length").cast("string")).alias("value"))
+    body = df.select(F.lit(len(head)).cast("long").alias("o"), F.concat_ws("\t", "sequence_id", *[F.col(c).cast("string") for c in [*columns, *extra.values()]]).alias("value"))
     top.unionAll(body).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
 
 
+def read_bioboxes_header(spark: SparkSession, path: str) -> tuple[dict[str, str], list[str]]:
+    """The header's values by key, and the names of the columns: a few lines at the driver."""
+    rows = spark.read.text(path).where(F.col("value").startswith("@")).limit(1000).collect()
+    told = [r["value"] for r in rows]
+    values = dict(x[1:].split(":", 1) for x in told if not x.startswith("@@") and ":" in x)
+    return values, next((x[2:].split("\t") for x in told if x.startswith("@@")), [])
+
+
 def read_bioboxes(spark: SparkSession, path: str) -> DataFrame:
+    """sequence_id and what its column header names of taxid, bin_id, support and length."""
+    _, columns = read_bioboxes_header(spark, path)
     f = F.split("value", "\t")
     df = lines(spark, path).where(~F.col("value").startswith("@"))
-    return df.select(F.get(f, F.lit(0)).alias("sequence_id"), F.get(f, F.lit(1)).alias("taxid"), F.get(f, F.lit(2)).try_cast("bigint").alias("support"), F.get(f, F.lit(3)).try_cast("bigint").alias("length"))
+    known = {"taxid": ("taxid", "string"), "binid": ("bin_id", "string")}
+    out = [F.get(f, F.lit(0)).alias("sequence_id")]
+    for i, c in enumerate(columns[1:], 1):
+        end = next((x for x in ("Support", "Length") if c.startswith("_") and c.endswith(f"_{x}")), None)
+        name, kind = known.get(c.lower(), (end.lower(), "bigint") if end else (None, None))
+        if name:
+            out.append(F.get(f, F.lit(i)).try_cast(kind).alias(name))
+    return df.select(*out)
 
 
 def read_simple_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -187,17 +289,20 @@ def read_maf(spark: SparkSession, path: str) -> DataFrame:
     return df.select("ordinal", F.regexp_extract("a", r"score=(\S+)", 1).try_cast("float").alias("score"), F.nullif(F.regexp_extract("a", r"\bE=(\S+)", 1), F.lit("")).try_cast("double").alias("evalue"), *part(0, "ref"), *part(1, "query"))
 
 
-def maf_to_alignments(maf: DataFrame) -> DataFrame:
-    """Alignment rows: places from 1 and inclusive; a minus strand on either side turns the reference round."""
+def maf_to_alignments(maf: DataFrame, protein: bool = False) -> DataFrame:
+    """Alignment rows: places from 1 and inclusive; a minus strand on either side turns the reference round, or with protein
+    references the query's places."""
     from cladeflow.functions import cigar, columns_equal
 
     minus_q = F.col("query_strand") == "-"
     minus = (F.col("ref_strand") == "-") != minus_q
     qs = F.when(minus_q, F.col("query_total") - F.col("query_start") - F.col("query_size")).otherwise(F.col("query_start")) + 1
     rs = F.when(F.col("ref_strand") == "-", F.col("ref_total") - F.col("ref_start") - F.col("ref_size")).otherwise(F.col("ref_start")) + 1
-    re = rs + F.col("ref_size") - 1
+    re, qe = rs + F.col("ref_size") - 1, qs + F.col("query_size") - 1
+    if protein:
+        (qs, qe), minus = (F.when(minus, qe).otherwise(qs), F.when(minus, qs).otherwise(qe)), F.lit(False)
     return maf.select(
-        "ordinal", F.lit(False).alias("masked"), F.col("query_name").alias("query_id"), qs.alias("query_start"), (qs + F.col("query_size") - 1).alias("query_stop"), F.col("query_total").alias("query_length"),
+        "ordinal", F.lit(False).alias("masked"), F.col("query_name").alias("query_id"), qs.alias("query_start"), qe.alias("query_stop"), F.col("query_total").alias("query_length"),
         F.col("ref_name").alias("ref_id"), F.when(minus, re).otherwise(rs).alias("ref_start"), F.when(minus, rs).otherwise(re).alias("ref_stop"),
         "score", F.coalesce("evalue", F.lit(0.0)).alias("evalue"), columns_equal(F.col("query_text"), F.col("ref_text")).cast("long").alias("identities"), F.length("query_text").cast("long").alias("aln_length"), cigar(F.col("query_text"), F.col("ref_text")).alias("cigar"),
     )

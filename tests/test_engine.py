@@ -1,6 +1,7 @@
 """Golden cases on a small taxonomy, and every query with SQL against DuckDB."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,14 +110,32 @@ def test_band_scope(spark):
 PATHS = {"30": ["1", "2", "10", "30"], "10": ["1", "2", "10"], "40": ["1", "2", "10", "30", "40"], "42": ["1", "2", "10", "31", "42"]}
 
 
-def test_consensus():
-    a = [(PATHS["30"], 3, [40], "q1", 100), (PATHS["10"], 2, [50], "q1", 100)]
-    b = [(PATHS["40"], 3, [60, 60], "q2", 200), (PATHS["42"], 4, [50], "q2", 200)]
+def test_consensus(spark):
+    a = [("A", PATHS["30"], 3, [40], "q1", 100), ("A", PATHS["10"], 2, [50], "q1", 100)]
+    b = [("B", PATHS["40"], 3, [60, 60], "q2", 200), ("B", PATHS["42"], 4, [50], "q2", 200)]
+    one = [("C", PATHS["40"], 3, [70, 60], "q3", 90)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(a + b + one)], "bin_id string, lower_lineage array<string>, upper_depth int, support array<bigint>, query_id string, seqlen long, ordinal long")
     assert binning.threshold(90, 0.7, 50) == 63
-    assert binning.combine(a, 0.7, 50) == ("fallback", PATHS["10"], 2, [90], 100)
-    assert binning.combine(a, 0.5, 50)[0] == "direct"
-    assert binning.combine(b, 0.7, 50) == ("fallback", PATHS["10"], 2, [110], 200)
-    assert binning.combine(b, 0.5, 50) == ("direct", PATHS["40"], 3, [60, 60], 200)
+    assert df.select(binning.threshold_of(F.lit(90), 0.7, 50)).first()[0] == 63
+
+    def got(majority):
+        return {r["bin_id"]: (r["kind"], r["lower_lineage"], r["upper_depth"], r["support"], r["length"]) for r in binning.consensus(df, majority, 50).collect()}
+
+    assert got(0.7) == {"A": ("fallback", PATHS["10"], 2, [90], 100), "B": ("fallback", PATHS["10"], 2, [110], 200), "C": ("single", PATHS["40"], 3, [70, 60], 90)}
+    half = got(0.5)
+    assert half["A"][0] == "direct" and half["B"] == ("direct", PATHS["40"], 3, [60, 60], 200)
+    names = spark.createDataFrame([(t, "name " + t) for t in ("1", "2", "10", "30", "31", "40", "42")], "taxid string, name string")
+    log = {r["bin_id"]: r["value"] for r in binning.log_lines(binning.consensus(df, 0.5, 50), names, 0.5, 50).collect()}
+    assert set(log) == {"A", "B"} and "  2 |         50 |         90 | 0 | *name 10" in log["A"] and "using direct binning mode..." in log["B"]
+
+
+def test_noise(spark):
+    rows = [(1, PATHS["40"], 3, [9, 5]), (1, PATHS["40"], 3, [9, 5]), (2, PATHS["42"], 4, [3]), (3, ["1", "7"], 1, [1])]
+    df = spark.createDataFrame(rows, "n int, lower_lineage array<string>, upper_depth int, support array<bigint>")
+    left = sorted((r["n"], r["lower_lineage"], r["support"]) for r in binning.remove_noise(df, "11").collect())
+    assert left == [(1, PATHS["30"], [9]), (1, PATHS["30"], [9])]
+    # a share of the root's support, 22 of it here
+    assert binning.remove_noise(df, "0.5").count() == 2 and binning.remove_noise(df, "0.04").count() == 4 and binning.remove_noise(df).count() == 4
 
 
 def test_sequences(spark):
@@ -127,22 +146,109 @@ def test_sequences(spark):
 
 
 def row(i, ref, score, n, k, taxid, seq="ACGT" * 10, a=1, b=40):
-    return {"ordinal": i, "query_start": a, "query_stop": b, "ref_start": a, "ref_stop": b, "score": float(score), "identities": n, "aln_length": k, "lineage": PATHS[taxid], "ref_seq": seq}
+    return {"ordinal": i, "query_start": a, "query_stop": b, "ref_id": ref, "score": float(score), "identities": n, "aln_length": k, "lineage": PATHS[taxid], "ref_seq": seq}
+
+
+def placed(rows, query="ACGT" * 10, exclude=0.5, band=0.05, align=rpa.align_dna):
+    return rpa.Placement(rows, query, exclude, band, align).run()
 
 
 def test_placement():
-    q = "ACGT" * 10
-    one = rpa.Placement([row(0, "refA", 80, 38, 40, "40")], q, rpa.cut_reference, 0.5, 0.05, rpa.align_dna).run()
+    one = placed([row(0, "refA", 80, 38, 40, "40", None)], None)
     assert (one["lower"][-1], one["upper"][-1], one["support"], one["ival"]) == ("40", "1", 38, 1.0)
     p41 = PATHS["30"] + ["41"]
     rows = [row(0, "a", 100, 40, 40, "40"), row(1, "b", 100, 39, 40, "40") | {"lineage": p41}, row(2, "c", 90, 30, 40, "42")]
-    same = rpa.Placement(rows, q, rpa.cut_reference, 0.5, 0.05, rpa.align_dna).run()
+    same = placed(rows)
     assert (same["lower"][-1], same["upper"][-1], same["support"], same["ival"], same["rtax"]) == ("30", "10", 40, 0.0, "30")
+    # no second score: up to the root
+    assert placed(rows[:2])["upper"] == ("1",) and placed(rows[:2])["alignments"] == 0
     near = "ACGT" * 9 + "ACTT"
     far = "ACGT" * 5 + "TTTT" * 5
     rows = [row(0, "a", 100, 39, 40, "40", near), row(1, "b", 99, 38, 40, "40", near[:-3] + "GTT") | {"lineage": p41}, row(2, "c", 60, 30, 40, "42", far)]
-    got = rpa.Placement(rows, q, rpa.cut_reference, 0.5, 0.05, rpa.align_dna).run()
+    got = placed(rows)
     assert got["rtax"] == "40" and got["upper"] == tuple(PATHS["40"][: len(got["upper"])]) and got["lower"][: len(got["upper"])] == got["upper"]
+    with pytest.raises(ValueError, match="no sequence"):
+        placed(rows, None)
+
+
+def test_placement_by_hand():
+    """Distances by a table: three references at known distances from the query and from each other."""
+    p41 = PATHS["30"] + ["41"]
+
+    def run(query_to, between, paths, scores=(100, 99, 98, 97)):
+        table_ = {frozenset(k): v for k, v in between.items()} | {frozenset(("q", x)): d for x, d in query_to.items()}
+        rows = [row(i, x, scores[i], 20, 40, "40", x) | {"lineage": paths[x]} for i, x in enumerate(query_to)]
+        return placed(rows, "q", align=lambda a, b: (float(table_[frozenset((a, b))]) if a != b else 0.0, 30.0))
+
+    paths = {"a": PATHS["40"], "b": p41, "c": PATHS["42"]}
+    # b is nearer to a than the query is, c beyond: lower 30, upper 10; ival = (4 - 2) / (8 - 2)
+    got = run({"a": 4, "b": 5, "c": 9}, {"ab": 2, "ac": 8, "bc": 8}, paths)
+    assert (got["rtax"], got["lower"][-1], got["upper"][-1], got["support"]) == ("40", "30", "10", 30) and got["ival"] == pytest.approx(1 / 3)
+    # nothing is nearer to a than the query: the nearest beyond bounds the range, the lower node stays; c lies far away
+    got = run({"a": 2, "b": 5, "c": 9}, {"ab": 4, "ac": 9, "bc": 9}, paths)
+    assert (got["lower"][-1], got["upper"][-1]) == ("40", "30") and got["ival"] == pytest.approx(0.5)
+    # two equally near references of two genera: what they share
+    got = run({"a": 3, "c": 3}, {"ac": 1}, paths, (100, 100))
+    assert (got["rtax"], got["lower"][-1], got["upper"][-1], got["ival"]) == ("10", "10", "10", 1.0)
+    # a contradiction: c of another genus is nearer to a than b of its own; the band grows by sqrt(6 / 3)
+    assert rpa.band_factor(tuple(PATHS["40"]), [(0.0, tuple(PATHS["40"])), (3.0, tuple(PATHS["42"])), (6.0, tuple(p41))]) == pytest.approx(2**0.5)
+    assert rpa.band_factor(tuple(PATHS["40"]), [(0.0, tuple(PATHS["40"])), (3.0, tuple(p41)), (6.0, tuple(PATHS["42"]))]) == 1.0
+
+
+def test_protein_alignment():
+    """Against a plain table, where of equal steps back a diagonal comes first, then a vertical one."""
+    def plain(a, b):
+        s = lambda x, y: rpa.SCORES[x, y]
+        t = [[-(i + j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        n = [[i + j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                ways = [(t[i - 1][j - 1] + s(x, y), n[i - 1][j - 1]), (t[i - 1][j] - 1, n[i - 1][j]), (t[i][j - 1] - 1, n[i][j - 1])]
+                best = max(w[0] for w in ways)
+                t[i][j], n[i][j] = best, next(w[1] for w in ways if w[0] == best) + 1
+        own = sum(s(x, x) for x in a + b)
+        mutual, norm = t[-1][-1], np.float32(n[-1][-1]) / np.float32(own)
+        return float(np.float32(own - 2 * mutual) * norm), float(np.float32(2 * mutual) * norm)
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = ("".join(rng.choice(list(rpa.RESIDUES[:6]), int(rng.integers(1, 14)))) for _ in range(2))
+        assert rpa.align_protein(a, b) == pytest.approx(plain(a, b))
+
+
+def test_place(spark, tax):
+    """The distributed form against the kernel: no row, one row, equal rows, aligned rows on both strands."""
+    p = tax.prune()
+    up = lineages(p)
+    genome = {"refA": "ACGTTGCAAC" * 12, "refB": "ACGTTGCATC" * 12, "refC": "GGGTTTCCCA" * 12}
+    query = genome["refA"][10:110]
+    back = genome["refB"][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    genome["refB"] = back
+    rows = [
+        (0, True, "q0", 1, 40, 100, "refA", 11, 50, 80.0, 38, 40, "40"), (1, False, "q1", 1, 40, 100, "refA", 11, 50, 80.0, 38, 40, "40"),
+        (2, False, "q2", 1, 40, 100, "refA", 11, 50, 80.0, 40, 40, "40"), (3, False, "q2", 1, 40, 100, "refC", 11, 50, 70.0, 9, 40, "42"),
+        (4, False, "q3", 1, 40, 100, "refA", 11, 50, 80.0, 30, 40, "40"), (5, False, "q3", 3, 30, 100, "refB", 108, 81, 79.0, 20, 30, "41"), (6, False, "q3", 1, 40, 100, "refC", 11, 50, 60.0, 10, 40, "42"),
+    ]
+    df = spark.createDataFrame(rows, "ordinal long, masked boolean, query_id string, query_start long, query_stop long, query_length long, ref_id string, ref_start long, ref_stop long, score double, identities long, aln_length long, taxid string").withColumn("evalue", F.lit(0.0))
+    refs = spark.createDataFrame(list(genome.items()), "seq_id string, seq string")
+    queries = spark.createDataFrame([(f"q{i}", query) for i in range(4)], "seq_id string, seq string")
+    found = predictions.predict(segments.segment(df), p, queries=queries, references=refs)
+    got = {r["query_id"]: r for r in found.collect()}
+    told = lambda q: (got[q]["lower_lineage"][-1], got[q]["lower_lineage"][got[q]["upper_depth"]], got[q]["support"][0], got[q]["ival"], got[q]["refs"])
+    assert told("q0") == ("1", "1", 0, 1.0, 0) and (got["q0"]["feature_begin"], got["q0"]["feature_end"]) == (1, 100)
+    assert told("q1") == ("40", "1", 38, 1.0, 1) and told("q2") == ("40", "10", 40, 0.0, 2)
+    kernel = rpa.Placement([
+        {"ordinal": i, "query_start": a, "query_stop": b, "ref_id": r, "score": s, "identities": n, "aln_length": k, "lineage": up[t], "ref_seq": cut}
+        for (i, _, _, a, b, _, r, _, _, s, n, k, t), cut in zip(rows[4:], (genome["refA"][10:50], back[70:110][::-1].translate(str.maketrans("ACGT", "TGCA")), genome["refC"][10:50]), strict=True)
+    ], query[:40], 0.5, 0.05, rpa.align_dna)
+    x = kernel.run()
+    assert (got["q3"]["lower_lineage"], got["q3"]["support"][0], got["q3"]["passes"]) == (list(x["lower"]), x["support"], kernel.aligned) and sum(kernel.aligned) > 2
+    log = {r["query_id"]: r["value"] for r in rpa.log_lines(found, p.nodes.select("taxid", "name")).collect()}
+    assert log["q1"].startswith("ID\t1:40@q1\n  NUMREF\t1\n    RANGE\tSpA1\tSpA1\troot\n") and "STATS\t-1:-1@q0\t0\t0\t0\t0\t0\t0.00" in log["q0"]
+    with pytest.raises(Exception, match="no sequence"):
+        predictions.predict(segments.segment(df), p, queries=queries, references=refs.where("seq_id <> 'refC'")).collect()
+    with pytest.raises(ValueError, match="no prediction method"):
+        predictions.predict(df, p, "best")
 
 
 def test_bad_alignment_rows(spark, tmp_path):
@@ -153,15 +259,91 @@ def test_bad_alignment_rows(spark, tmp_path):
         text.read_alignments(spark, str(tmp_path / "a.tsv")).collect()
 
 
-def test_fasta_index_and_maf(spark, tmp_path):
-    raw = ">s1 first\nACGT\nACG\n>s2\nAA\n"
-    (tmp_path / "a.fa").write_text(raw)
-    fai = {r["name"]: (r["length"], r["offset"], r["line_bases"]) for r in text.build_fai(spark, str(tmp_path / "a.fa")).collect()}
-    assert fai == {"s1": (7, raw.index("ACGT"), 4), "s2": (2, raw.index("AA\n"), 2)}
-    assert {r["seq_id"]: r["seq"] for r in text.read_fasta(spark, str(tmp_path / "a.fa")).collect()} == {"s1": "ACGTACG", "s2": "AA"}
+def test_fasta(spark, tmp_path):
+    raw = ">s1 variant A->G\nACGT\nACG\n>s2\nAA\n>s3\n>s1 again\r\nGG\r\nG\r\n"
+    (tmp_path / "a.fa").write_bytes(raw.encode())
+    path = f"file://{tmp_path}/a.fa"
+    index = text.build_fai(spark, path)
+    fai = {r["offset"]: (r["name"], r["length"], r["line_bases"], r["line_bytes"]) for r in index.collect()}
+    assert fai == {raw.index("ACGT"): ("s1", 7, 4, 5), raw.index("AA\n"): ("s2", 2, 2, 3), raw.index(">s1 again"): ("s3", 0, 0, 0), raw.index("GG\r"): ("s1", 3, 2, 4)}
+    assert {r["seq_id"]: r["seq"] for r in text.read_fasta(spark, path).collect()} == {"s1": "GGG", "s2": "AA", "s3": ""}
+    want = spark.createDataFrame([("s2", 0, 2), ("s2", 1, 99), ("s2", 50, 60), ("s3", 0, 5), ("none", 0, 1)], "name string, begin long, end long")
+    assert sorted((r["name"], r["begin"], r["seq"]) for r in text.read_regions(want, index).collect()) == [("s2", 0, "AA"), ("s2", 1, "A"), ("s2", 50, ""), ("s3", 0, "")]
+    both = spark.createDataFrame([("s1", 1, 6)], "name string, begin long, end long")
+    assert sorted(r["seq"] for r in text.read_regions(both, index).collect()) == ["CGTAC", "GG"]
+    (tmp_path / "b.fa").write_text(">s\nAC\nACG\nA\n")
+    with pytest.raises(Exception, match="unequal lines"):
+        text.build_fai(spark, str(tmp_path / "b.fa")).collect()
+    with pytest.raises(Exception, match="comes again"):
+        text.strip_identifiers(spark.createDataFrame([("a b",), ("a c",)], "seq_id string")).collect()
+
+
+def test_maf(spark, tmp_path):
     (tmp_path / "a.maf").write_text("# x\na score=12 E=1e-3\ns ref 2 4 + 10 AC-GT\ns q 0 4 - 4 ACTG-\n\n")
     r = text.maf_to_alignments(text.read_maf(spark, str(tmp_path / "a.maf"))).first()
     assert (r["query_start"], r["query_stop"], r["ref_start"], r["ref_stop"], r["identities"], r["aln_length"]) == (1, 4, 6, 3, 3, 5)
+    r = text.maf_to_alignments(text.read_maf(spark, str(tmp_path / "a.maf")), protein=True).first()
+    assert (r["query_start"], r["query_stop"], r["ref_start"], r["ref_stop"]) == (4, 1, 3, 6)
+
+
+def test_gff_version_line(spark, tmp_path):
+    rows = [(f"q{i}", 1, 9, 9, "1", 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "query_id string, feature_begin long, feature_end long, seqlen long, rtax string, ival double").repartition(4)
+    text.write_gff3(df, F.lit("1"), str(tmp_path / "g"))
+    parts = [p.read_text().split("\n") for p in (tmp_path / "g").glob("part-*")]
+    assert len(parts) == 4 and all(p[0] == text.GFF_HEAD and p.count(text.GFF_HEAD) == 1 for p in parts)
+    assert text.read_predictions(spark, str(tmp_path / "g")).count() == 40
+
+
+@pytest.mark.parametrize("layout", sorted(text.LAYOUTS))
+def test_bioboxes(spark, tmp_path, layout):
+    df = spark.createDataFrame([("s1", "7", "b1", 5, 9)], "sequence_id string, taxid string, bin_id string, support long, length long")
+    text.write_bioboxes(df, str(tmp_path / "b"), "one", "v1", layout=layout, tags={"Note": "a:b"})
+    values, columns = text.read_bioboxes_header(spark, str(tmp_path / "b"))
+    assert values == {"Version": "0.9.0", "SampleID": "one", "TaxonomyID": "v1", "_Cladeflow_Note": "a:b"} and columns[0] == "SequenceID"
+    got = text.read_bioboxes(spark, str(tmp_path / "b")).first().asDict()
+    assert got == {k: v for k, v in {"sequence_id": "s1", "taxid": "7", "bin_id": "b1", "support": 5, "length": 9}.items() if k not in {"taxid": ["bin_id"], "binid": ["taxid"], "taxid_binid": []}[layout]}
+
+
+def test_taxonomy_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv(text.TAXONOMY_VARIABLE, str(tmp_path))
+    (tmp_path / "nodes.dmp").write_text("1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tgenus\t|\n")
+    (tmp_path / "names.dmp").write_text("1\t|\troot\t|\t\t|\tscientific name\t|\n2\t|\tG\t|\t\t|\tscientific name\t|\n2\t|\tgee\t|\t\t|\tsynonym\t|\n")
+    assert text.read_taxonomy_version(spark) == ""
+    (tmp_path / "version.txt").write_text("v7\nmore\n")
+    assert text.read_taxonomy_version(spark) == "v7"
+    assert sorted(map(tuple, text.read_taxonomy_edges(spark).collect())) == [("1", "1", "no rank", "root"), ("2", "1", "genus", "G")]
+
+
+def test_fields(spark):
+    rows = ["a\tb\tc", "a\tb", "a\t", "", "a"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, value string").orderBy("i")
+    assert [r[0] for r in df.select(fn.fields(F.col("value"), "\t", 2)).collect()] == [["a", "b", "c"], ["a", "b", ""], ["a", ""], [""], ["a", ""]]
+    assert [r[0] for r in df.select(fn.fields(F.col("value"), "\t")).collect()][:2] == [["a", "b", "c", ""], ["a", "b", ""]]
+    assert df.select(fn.fields(F.lit("x||y||"), "||", tail=False)).first()[0] == ["x", "y"]
+
+
+def test_newick_forms(spark, tax):
+    df = spark.createDataFrame([("40",), ("43",), ("99",)], "t string")
+    form = lambda **kw: tx.newick(df, tax, "t", ("superkingdom", "phylum", "genus", "species"), **kw).first()[0]
+    assert form() == "((((40)30)10,(43)11)2);"
+    assert form(names=True) == "((((SpA1)GenA)PhyA,(unclassified PhyB sp.)PhyB)Bacteria);"
+    assert form(fill=True) == "((((40)30)10,((43))11)2);"
+    assert tx.newick(df.where("t = 'x'"), tax, "t").first()[0] == "();"
+
+
+def test_consecutive_spans(spark, monkeypatch):
+    """Groups that go on over spans, begin at their border, or leave one out."""
+    monkeypatch.setattr(segments, "SPAN", 4)
+    ids = "aaabbbbbbbaaccccaaaabc"
+    rows = [(i if i < 12 else i + 20, x) for i, x in enumerate(ids)]
+    df = spark.createDataFrame(rows, "ordinal long, query_id string")
+    got = [r["group_no"] for r in segments.segment(df, split=False, consecutive=True).orderBy("ordinal").collect()]
+    want, n = [], 0
+    for i, x in enumerate(ids):
+        n += not i or x != ids[i - 1]
+        want.append(n)
+    assert got == want
 
 
 WITH_SQL = sorted(engine_queries.ORACLE)
