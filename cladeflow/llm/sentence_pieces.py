@@ -5,6 +5,9 @@ normalised byte came from; the merges run on the normalised text; each piece is
 
 Defined results: a null text is an empty one; an empty text has the end id alone and decodes to ''; repeated
 rows are encoded each; other columns are ignored.
+
+Many byte pieces of one character share that character's span. The ids, the spans and the decoded text of the query
+come from one pass: a word's pieces and their places within it are kept for the words that come again.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,13 +57,19 @@ class CharMap:
         return found
 
 
+#: A segment's ids, the same as text, what they decode to, its pieces' places (start, end: 32-bit) in its source, its size there.
+Word = tuple[tuple[int, ...], str, bytes, bytes, int]
+
+
 class Encoder:
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str | None = None, cache: int = 400_000, serialized: bytes = b""):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+        if path is not None:
+            with open(path, "rb") as f:
+                serialized = f.read()
+        model.ParseFromString(serialized)
         norm, train = model.normalizer_spec, model.trainer_spec
         if train.model_type != 2 or train.treat_whitespace_as_suffix or not norm.escape_whitespaces:
             raise ValueError("a BPE model with escaped white space before words is expected")
@@ -83,7 +94,7 @@ class Encoder:
         # no normal piece holds these characters beside others, so that they part the text for certain
         self.cut = "" if any("\n" in p for p in self.id) else "\n"
         self.segment = re.compile(f"{self.cut}|{MARK}+[^{MARK}{self.cut}]*|[^{MARK}{self.cut}]+" if self.cut else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.cache: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.cache: dict[str, Word] = {}
         self.most = cache
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
@@ -95,6 +106,7 @@ class Encoder:
                 return "", None
             return (MARK if self.dummy else "") + text.replace(" ", MARK), None
         raw, out, where, at = text.encode(), bytearray(), [], 0
+        lead, end, blank = 0, len(text.encode()), self.squeeze  # where the mark before the text, and its end, are taken to be
         while at < len(raw):
             got = self.map.longest(raw, at)
             if got is None:
@@ -103,11 +115,14 @@ class Encoder:
             out += got[1]
             where += [at] * len(got[1])
             at += got[0]
+            blank = blank and got[1] == b" "
+            lead = at if blank else lead
         if self.squeeze:
             keep = [i for i, c in enumerate(out) if c != 32 or i and out[i - 1] != 32]
             if keep and out[keep[0]] == 32:
                 keep = keep[1:]
             if keep and out[keep[-1]] == 32:
+                end = where[keep[-1]]
                 keep = keep[:-1]
             out, where = bytearray(out[i] for i in keep), [where[i] for i in keep]
         if not out:
@@ -115,11 +130,11 @@ class Encoder:
         mark, new, to = MARK.encode(), bytearray(), []
         if self.dummy:
             new += mark
-            to += [where[0]] * 3
+            to += [lead] * 3
         for c, w in zip(out, where, strict=True):
             new += mark if c == 32 else bytes([c])
             to += [w] * (3 if c == 32 else 1)
-        return new.decode(), [*to, len(raw)]
+        return new.decode(), [*to, end]
 
     def merge(self, word: str) -> list[str]:
         """Best-scored neighbours join first, the leftmost of equals, until none is a piece."""
@@ -163,20 +178,37 @@ class Encoder:
             offer(i)
         return [p for p in part if p]
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
-        """Ids of a segment, the same as text, and what they decode to."""
+    def pieces_in(self, word: str) -> Iterator[tuple[list[int], int, int]]:
+        """Ids of each piece of a segment with its place in the segment's bytes; unknown pieces in a row are one."""
+        at, unknown = 0, -1
+        for p in self.merge(word) if len(word) <= 40 else self.merge_long(word):
+            i, end = self.id.get(p), at + len(p.encode())
+            if i is None and not self.byte:
+                unknown = at if unknown < 0 else unknown
+            else:
+                if unknown >= 0:
+                    yield [self.unk], unknown, at
+                    unknown = -1
+                yield [i] if i is not None else [self.byte[b] for b in p.encode()], at, end
+            at = end
+        if unknown >= 0:
+            yield [self.unk], unknown, at
+
+    def word(self, word: str) -> Word:
+        """A segment of a text whose marks are all escaped spaces: a mark is one byte there."""
         got = self.cache.get(word)
         if got is None:
             ids: list[int] = []
-            for p in self.merge(word) if len(word) <= 40 else self.merge_long(word):
-                i = self.id.get(p)
-                if i is not None:
-                    ids.append(i)
-                elif self.byte:
-                    ids += [self.byte[b] for b in p.encode()]
-                elif not ids or ids[-1] != self.unk:
-                    ids.append(self.unk)
-            got = tuple(ids), " ".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids)
+            spans: list[int] = []
+            raw = word.encode()
+            marks = np.cumsum(np.frombuffer(raw.replace(MARK.encode(), b"\0\1\2"), np.uint8) == 2) if MARK in word else None
+            for some, a, b in self.pieces_in(word):
+                ids += some
+                if marks is not None:
+                    a, b = a - 2 * int(marks[a - 1]) if a else 0, b - 2 * int(marks[b - 1])
+                spans += (a, b) * len(some)
+            size = len(raw) - (2 * int(marks[-1]) if marks is not None else 0)
+            got = tuple(ids), " ".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids), np.array(spans, "<i4").tobytes(), size
             if len(self.cache) < self.most and len(word) <= 64:
                 self.cache[word] = got
         return got
@@ -184,28 +216,39 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return [i for w in self.segment.findall(self.normalise(text)[0]) for i in self.word(w)[0]] + [self.eos]
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """Each piece's id and the source bytes [start, end) it stands for; the end id's span is empty.
-
-        Byte pieces of one character each have that character's span."""
+    def aligned(self, text: str) -> tuple[list[Word], np.ndarray]:
+        """The segments of a text, and of each piece and the end id the source bytes [start, end) it stands for."""
         normal, where = self.normalise(text)
+        words = [self.word(w) for w in self.segment.findall(normal)]
         size = len(text.encode())
-        if where is None and normal:
-            where = [0] * (3 * self.dummy)
-            at = 0
-            for c in text:
-                n = len(c.encode())
-                where += [at] * 3 if c == " " else [at + (0 if n > 1 else 0)] * n
-                at += n
-            where.append(size)
-        out, at = [], 0
-        for w in self.segment.findall(normal):
-            for p in self.merge(w) if len(w) <= 40 else self.merge_long(w):
-                a, b = where[at], where[at + len(p.encode())]
-                at += len(p.encode())
-                i = self.id.get(p)
-                out += [(i, a, b)] if i is not None else [(self.byte[x], a, b) for x in p.encode()] if self.byte else [(self.unk, a, b)]
-        return [*out, (self.eos, size, size)]
+        count = np.array([len(w[0]) for w in words], np.int64)
+        spans = np.frombuffer(b"".join([w[3] for w in words]), "<i4").reshape(-1, 2)
+        if where is None and MARK not in text:
+            sizes = np.array([w[4] for w in words], np.int64)
+            spans = spans + np.repeat(np.cumsum(sizes) - sizes - self.dummy, count)[:, None]
+            spans = np.maximum(spans, 0)  # the mark before the text stands for nothing
+        elif normal:
+            if where is None:
+                where = [0] * (3 * self.dummy)
+                at = 0
+                for c in text:
+                    n = len(c.encode())
+                    where += [at] * 3 if c == " " else [at] * n
+                    at += n
+                where.append(size)
+            # with other marks in the text the places in the normalised bytes count, and lead to the source's
+            places, at = [], 0
+            for w in self.segment.findall(normal):
+                for some, a, b in self.pieces_in(w):
+                    places += [(at + a, at + b)] * len(some)
+                at += len(w.encode())
+            spans = np.array(where, np.int64)[np.array(places, np.int64)]
+        return words, np.concatenate([spans.astype(np.int64).reshape(-1, 2), [[size, size]]])
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """Each piece's id and the source bytes [start, end) it stands for; the end id's span is empty."""
+        words, spans = self.aligned(text)
+        return [(i, a, b) for i, (a, b) in zip([*(i for w in words for i in w[0]), self.eos], spans.tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined; what byte pieces make is read as UTF-8, and the space put before the text goes."""
@@ -226,17 +269,18 @@ class Encoder:
             out.append(t)
         return "".join(out) + held.decode("utf-8", "replace")
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, and the SHA-256 of the ids and of the text decoded from them."""
-        words = [self.word(w) for w in self.segment.findall(self.normalise(text)[0])]
-        n = sum(len(w[0]) for w in words) + 1
+    def digests(self, text: str) -> tuple[int, str, str, int]:
+        """Number of ids, the SHA-256 of the ids and of the text decoded from them, and the CRC-32 of all spans as
+        little-endian 32-bit numbers."""
+        words, spans = self.aligned(text)
+        n = len(spans)
         joined = " ".join([w[1] for w in words] + [str(self.eos)]).encode()
         if self.byte:  # a character's byte pieces lie in one segment: the segments' bytes join to the whole
             body = b"".join([w[2] for w in words])
             body = body[1:] if self.dummy and body[:1] == b" " else body
         else:
             body = self.decode([i for w in words for i in w[0]]).encode()
-        return n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(body).hexdigest()
+        return n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(body).hexdigest(), zlib.crc32(spans.astype("<u4").tobytes())
 
 
 _encoders: dict[str, Encoder] = {}
@@ -264,7 +308,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
 
 def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text: number of ids, digest of the ids, digest of what they decode to."""
+    """Per text: number of ids, digest of the ids, digest of what they decode to, checksum of the pieces' source spans."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,11 +316,11 @@ def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for b in common.pieces_of(batch, "text"):
                 rows = [e.digests(t or "") for t in b.column("text").to_pylist()]
-                n, ids, decoded = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                n, ids, decoded, spans = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(spans, pa.int64())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long").withColumnRenamed("id", id_col)
 
 
 def op5_sentence_pieces(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -127,6 +128,10 @@ def test_crossover_keeps_pieces():
     assert packing.bound(counts, 100) <= len(packing.evolve(counts, 100, 1, 4, 4, [])) <= len(a)
 
 
+def library_spans(lib, text):
+    return [(p.id, p.begin, p.end) for p in lib.encode(text, return_type="proto").pieces]
+
+
 def test_pieces(spark, docs):
     import sentencepiece
 
@@ -136,10 +141,59 @@ def test_pieces(spark, docs):
         t = TEXTS[r["doc_id"]] or ""
         ids = lib.encode(t, add_eos=True)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
-        if len(t) < 1000:
-            spans = own.spans(t)
-            assert [s[0] for s in spans] == ids and own.decode(ids) == lib.decode(ids)
-            assert all(a[1] <= b[1] for a, b in zip(spans, spans[1:], strict=False)) and spans[-1][2] == len(t.encode())
+        size = len(t.encode())
+        spans = np.array([x[1:] for x in library_spans(lib, t)] + [(size, size)], "<u4")
+        assert r["spans_crc32"] == zlib.crc32(spans.tobytes()) and own.decode(ids) == lib.decode(ids)
+    found = {r["doc_id"]: r for r in sentence_pieces.encode_pieces(docs.where("doc_id is not null"), path).collect()}
+    for i, t in enumerate(TEXTS):
+        got = list(zip(found[i]["ids"], found[i]["span_start"], found[i]["span_end"], strict=True))
+        assert got[:-1] == library_spans(lib, t or "") and got[-1][1:] == (len((t or "").encode()),) * 2
+
+
+def charsmap(entries):
+    """A compiled character map: a double-array trie with a block of 256 places for each node, and the replacements."""
+    texts, trie, units = b"", {}, [0] * 256
+    for source, target in entries.items():
+        node = trie
+        for b in source.encode():
+            node = node.setdefault(b, {})
+        node[-1] = len(texts)
+        texts += target.encode() + b"\0"
+
+    def put(at, label, node):
+        base = len(units)
+        units.extend([0] * 256)
+        units[at] = label | (base ^ at) << 10 | (0x100 if -1 in node else 0)
+        if -1 in node:
+            units[base] = node[-1] | 0x80000000
+        for b, child in node.items():
+            if b >= 0:
+                put(base ^ b, b, child)
+
+    put(0, 0, trie)
+    return struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + texts
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("prefix", [False, True])
+def test_character_map(squeeze, prefix):
+    """A map with entries, the longest of which counts: ids, spans and text as the library's own with the same map."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(common.tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        m.ParseFromString(f.read())
+    m.normalizer_spec.precompiled_charsmap = charsmap({"ﬁ": "fi", "A": "a", "AB": "xy", "é": "e", "\t": " ", "…": "...", "\u200b": "", "Ａ": "A", "¼": "1/4"})
+    m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.add_dummy_prefix = squeeze, prefix
+    lib, own = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()), sentence_pieces.Encoder(serialized=m.SerializeToString())
+    assert own.map.longest("ABA".encode(), 0) == (2, b"xy") and own.map.longest("ABA".encode(), 2) == (1, b"a") and own.map.longest(b"b", 0) is None
+    for t in ["ABA ﬁne café…", "\t tab  AB\t", "\u200bzero \u200b", "ＡB  é ", "", "  ", "x▁ A¼", "日本 é😀A", "  two  words  ", "a\nA\n"]:
+        assert own.spans(t)[:-1] == library_spans(lib, t), t
+        ids = lib.encode(t, add_eos=True)
+        assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids)
+        size = len(t.encode())
+        assert own.digests(t)[0::3] == (len(ids), zlib.crc32(np.array([x[1:] for x in library_spans(lib, t)] + [(size, size)], "<u4").tobytes()))
 
 
 def test_rules(spark, docs):
