@@ -132,17 +132,31 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class WholeFile:
+    """A file written under another name and moved into place when it is closed: a task that dies leaves no half file."""
+
+    def __init__(self, uri: str):
+        import uuid
+
+        self.uri = uri
+        self.store, self.path = filesystem(uri)
+        self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.half = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.stream = self.store.open_output_stream(self.half)
+
+    def write(self, x: bytes) -> None:
+        self.stream.write(x)
+
+    def close(self) -> None:
+        self.stream.close()
+        self.store.move(self.half, self.path)
+
+
 def write_whole(uri: str, parts: Iterator[bytes]) -> None:
-    """Write a file under another name and move it into place: a task that dies leaves no half file."""
-    import uuid
-
-    store, path = filesystem(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    half = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(half) as f:
-        for x in parts:
-            f.write(x)
-    store.move(half, path)
+    f = WholeFile(uri)
+    for x in parts:
+        f.write(x)
+    f.close()
 
 
 _tokenizers: dict[str, object] = {}

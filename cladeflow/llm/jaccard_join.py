@@ -121,7 +121,7 @@ ROWS = "doc_id long, sid long, n int, token long, pos int, bits binary"
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, tail: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """A row for each text (pos -1), and one for each list entry of each set that a task meets first."""
+    """A row for each text (pos -1, its hash as token), and one for each list entry of each set that a task meets first."""
     often, weight = tail
     names = ["doc_id", "sid", "n", "token", "pos", "bits"]
 
@@ -132,8 +132,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, tail: tuple[np.ndarr
                 sets = sets_of(*common.text_bytes(b.column("text")), k)
                 ids = [set_id(s) if len(s) else None for s in sets]
                 sizes = np.array([len(s) for s in sets], np.int32)
-                none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes), none, pa.array(np.full(len(sets), -1, np.int32)), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes), b.column("text_hash"), pa.array(np.full(len(sets), -1, np.int32)), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=names)
                 new = [j for j, (i, d) in enumerate(zip(ids, b.column("doc_id").is_valid().to_pylist(), strict=True)) if d and i is not None and not (i in known or known.add(i))]
                 if len(known) > 200_000:
                     known.clear()
@@ -606,23 +605,24 @@ def exact_links(apart_: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "sid long, more long, least long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False, part_entries: int = PART_ENTRIES) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False, part_entries: int = PART_ENTRIES, groups: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) under Jaccard >= num / den, 1/2 at least.
 
-    With links also n_links: how many other rows reach that similarity (null for a null id, 0 without shingles)."""
+    With links also n_links: how many other rows reach that similarity (null for a null id, 0 without shingles). With
+    groups also text_hash, by which the rows of one id differ, and group: the component's name (null without shingles or id)."""
     if 2 * num < den:
         raise ValueError("sketches need a similarity of 1/2 at least")
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     signed = materialize(signatures(rows, k, num, den, common_shingles(rows, k, tail)), "signatures")
-    own = signed.where("pos < 0").select("doc_id", "sid", "n", "bits")
+    own = signed.where("pos < 0").select("doc_id", "sid", "n", "bits", F.col("token").alias("text_hash"))
     sets = materialize(own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
     few = sets.select("sid", "rep", "copies")
-    groups = candidate_groups(signed, sets, num, den, part_entries)
+    candidates = candidate_groups(signed, sets, num, den, part_entries)
     comp = None
-    if groups is not None:
-        members = materialize(few.join(groups, "sid"), "members")
+    if candidates is not None:
+        members = materialize(few.join(candidates, "sid"), "members")
         found = materialize(exact_links(differences(rows, members, k), num, den), "links")
         comp = components(found.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
         if links:
@@ -632,17 +632,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         least = few.join(comp, "sid").groupBy("comp").agg(F.min("rep").alias("least"))
         few = named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "rep"))
     else:
-        few = few.withColumn("component_id", F.col("rep"))
+        few = few.withColumn("component_id", F.col("rep")).withColumn("comp", F.col("sid"))
     if links:
-        few = few.withColumn("n_links", F.col("copies") - 1 + (F.coalesce("more", F.lit(0)) if groups is not None else F.lit(0)))
-    few = materialize(few.where("copies > 1 or component_id <> rep" + (" or n_links > 0" if links else "")).select("sid", "component_id", *(["n_links"] if links else [])), "named")
+        few = few.withColumn("n_links", F.col("copies") - 1 + (F.coalesce("more", F.lit(0)) if candidates is not None else F.lit(0)))
+    few = materialize(few.where("copies > 1 or component_id <> rep or comp <> sid" + (" or n_links > 0" if links else "")).select("sid", "component_id", "comp", *(["n_links"] if links else [])), "named")
     # a set that a third of the rows share: its rows are dealt by salt, and the sets' small side to every salt
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = own.select("doc_id", "sid", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    left = own.select("doc_id", "sid", "n", "text_hash").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     out = left.join(right, ["sid", "salt"], "left")
     n_links = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if links else []
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)
+    named_ = ["text_hash", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "sid")).alias("group")] if groups else []
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component, *n_links, *named_)
 
 
 def op1_ngram_jaccard(spark, sf_dir):

@@ -41,8 +41,11 @@ def chunks(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.
             yield common.text_bytes(piece.column("text"))
 
 
-def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id, held_out, score and predicted of each row; with keep, the row's own columns and predicted alone."""
+def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray | tuple[np.ndarray, ...]], threshold: float, id_col: str = "doc_id", text_col: str = "text", keep: str = "", more: tuple[str, ...] = ()) -> DataFrame:
+    """id, held_out, score and predicted of each row, and the long columns that score() gives besides (more); with keep, the
+    row's own columns and predicted alone, under that name, which must be free."""
+    if keep and keep.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"column {keep} is there already")
     spark = docs.sparkSession
     ship(spark)
     names = docs.columns if keep else [id_col, text_col]
@@ -55,11 +58,14 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
         for batch in batches:
             for b in common.pieces_of(batch, text, 1 << 20):
                 s = score(*common.text_bytes(b.column(text)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(s, pa.float64())], names=[*rest, "score"])
+                s, extra = (s[0], s[1:]) if isinstance(s, tuple) else (s, ())
+                extra = [] if keep else [pa.array(x, pa.int64(), mask=x < 0) for x in extra]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(s, pa.float64()), *extra], names=[*rest, "score", *extras])
 
-    schema = ", ".join([*(f"{c} {kinds[n]}" for c, n in zip(inner, names, strict=True) if c in rest), "score double"])
+    extras = [] if keep else [f"x{i}" for i in range(len(more))]
+    schema = ", ".join([*(f"{c} {kinds[n]}" for c, n in zip(inner, names, strict=True) if c in rest), "score double", *(f"{x} long" for x in extras)])
     out = docs.select(*(F.col(f"`{n}`").alias(c) for n, c in zip(names, inner, strict=True))).mapInArrow(run, schema)
     predicted = (F.col("score") >= threshold).cast("int")
     if keep:
-        return out.select(*(F.col(c).alias(n) for n, c in zip(names, inner, strict=True)), predicted.alias("_predicted"))
-    return out.select(F.col(inner[0]).alias(id_col), held_out(inner[0]).alias("held_out"), "score", predicted.alias("predicted"))
+        return out.select(*(F.col(c).alias(n) for n, c in zip(names, inner, strict=True)), predicted.alias(keep))
+    return out.select(F.col(inner[0]).alias(id_col), held_out(inner[0]).alias("held_out"), "score", predicted.alias("predicted"), *(F.col(x).alias(n) for x, n in zip(extras, more, strict=True)))

@@ -1,4 +1,4 @@
-"""Licence scan by canonical digests: texts that differ in case, punctuation, copyright lines or equivalent
+"""Licence scan by canonical digests: texts that differ in case, punctuation, copyright notices or equivalent
 spellings have one digest, and whole texts are hash-joined to the digests of known licences.
 
 DataFrame functions only. Defined results: a null or empty text, or one without letters and digits, has a null
@@ -31,7 +31,14 @@ SPELLINGS = {
     "organisation": "organization",
     "redistribution s": "redistributions",
 }
-COPYRIGHT_LINE = r"(?im)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
+#: A copyright notice at the start of a line, to the end of its sentence or line; what follows it there stays. A point
+#: behind an initial or a company's form, or within a name, ends no sentence. Java and RE2 read it alike.
+NOTICE = (
+    r"(?im)^[ \t]*(?:copyright[ \t:]*(?:\(c\)|©|by[ \t]|<|\[|\{|[^\n.]{0,80}[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)"
+    r"(?:\b(?:[a-z]|inc|ltd|co|corp|llc|jr|sr|dr|st)\.|[^\n.]|\.[^\s.])*(?:\.|$)"
+)
+#: A phrase that goes wherever it stands.
+RESERVED = r"(?i)\ball rights reserved\b"
 
 #: Short licences and standard notices.
 KNOWN = {
@@ -39,7 +46,6 @@ KNOWN = {
     "MIT-notice": "Released under the MIT License.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "reserved-notice": "All rights reserved.",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
@@ -65,8 +71,8 @@ KNOWN |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).
 
 
 def canonical(text: Column) -> Column:
-    """Copyright lines out, lower case, letters and digits alone, equivalent spellings as one."""
-    c = F.regexp_replace(text, COPYRIGHT_LINE, "")
+    """Copyright notices out, lower case, letters and digits alone, equivalent spellings as one."""
+    c = F.regexp_replace(F.regexp_replace(text, NOTICE, ""), RESERVED, " ")
     c = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for a, b in SPELLINGS.items():
         c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -101,7 +107,7 @@ def op7_license_scan(spark, sf_dir):
 
 
 def _sql(text: str) -> str:
-    c = f"' ' || regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT_LINE}', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    c = f"' ' || regexp_replace(lower(regexp_replace(regexp_replace({text}, '{NOTICE}', '', 'g'), '{RESERVED}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
     for a, b in SPELLINGS.items():
         c = f"replace({c}, ' {a} ', ' {b} ')"
     return f"sha256(nullif(trim({c}), ''))"

@@ -110,8 +110,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """In double precision on the original vectors; the same bits for the same pair wherever it stands."""
+    """In double precision on the original vectors; the same bits for the same pair wherever it stands. Powers of two taken
+    out of each vector change no bit, and keep squares of large and small components in range."""
+    scaled = lambda a: np.ldexp(a, -np.frexp(np.abs(a).max(-1, keepdims=True))[1])
     norm = lambda a: np.sqrt((a * a).sum(-1))
+    q, x = scaled(q), scaled(x)
     return (q * x).sum(-1) / (norm(q) * norm(x))
 
 

@@ -7,7 +7,8 @@ every island sends its elite to the next one. What the best individual leaves in
 dealt anew into fewer groups, level by level, so that no task ever holds more than a bounded group.
 
 Defined results: a null text is an empty one and has the end id alone; repeated rows are packed each; an
-empty table gives no row; other columns are ignored.
+empty table gives no row; other columns are ignored. pack() keeps its items' columns, of which none may be named
+_level, _group, _bin, sequence_id or offset: that is an error.
 """
 
 from __future__ import annotations
@@ -178,6 +179,8 @@ def pack(items: DataFrame, capacity: int, group_items: int = 32768, islands: int
     if not 1 <= capacity <= 65535:
         raise ValueError("capacity")
     names = items.columns
+    if taken := {"_level", "_group", "_bin", "sequence_id", "offset"} & {x.lower() for x in names}:
+        raise ValueError(f"items have columns {sorted(taken)}")
     full = items.where(F.col("length") == capacity).select(*names, F.lit(0).alias("_level"), F.xxhash64("doc_id", "piece").alias("_group"), F.monotonically_increasing_id().alias("_bin"), F.lit(0).cast("long").alias("offset"))
     done = [full]
     left = items.where(F.col("length") < capacity).select(*names)
@@ -207,13 +210,18 @@ def pack(items: DataFrame, capacity: int, group_items: int = 32768, islands: int
         if not size:
             break
         groups = max(1, -(-size // group_items))
-        keyed = left.withColumn("_group", F.pmod(F.xxhash64(F.lit(level), "doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("int"))
+        # the written number tells repeated rows apart: copies of one piece are dealt over all groups
+        number = F.xxhash64(F.lit(level), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+        keyed = materialize(left.withColumn("_group", F.pmod(number, F.lit(groups)).cast("int")), "grouped")
+        # an island a task, up to a bound that grows with the cluster
+        tasks = min(groups * islands, max(islands, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        dealt = lambda df: df.repartition(tasks, "group", "island")
         counts = materialize(keyed.groupBy(F.col("_group").alias("group"), "length").agg(F.count("*").alias("n")), "pack-counts")
         wide = counts.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("island", F.col("island").cast("int"))
-        best = materialize(wide.groupBy("group", "island").applyInArrow(first, elites), "pack-elites")
+        best = materialize(dealt(wide).groupBy("group", "island").applyInArrow(first, elites), "pack-elites")
         for epoch in range(1, epochs):
             moved = best.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
-            best = materialize(wide.groupBy("group", "island").cogroup(moved.groupBy("group", "island")).applyInArrow(later(epoch), elites), "pack-elites")
+            best = materialize(dealt(wide).groupBy("group", "island").cogroup(dealt(moved).groupBy("group", "island")).applyInArrow(later(epoch), elites), "pack-elites")
         won = best.groupBy("group").agg(F.min_by("elite", F.struct("bins", "even", "island")).alias("elite"))
         last = level == levels or groups == 1
 

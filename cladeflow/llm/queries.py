@@ -24,6 +24,6 @@ def queries():
 
 
 def oracle_sql():
-    from cladeflow.llm import licenses, quality_rules
+    from cladeflow.llm import licenses, quality_rules, warc
 
-    return {"op4_quality_rules": quality_rules.ORACLE, "op7_license_scan": licenses.ORACLE}
+    return {"op4_quality_rules": quality_rules.ORACLE, "op7_license_scan": licenses.ORACLE, "op8_warc": warc.ORACLE}

@@ -70,11 +70,22 @@ class Model:
             told[part] = True
         return np.where(told, out, -1e9)
 
-    def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        features, first, doc, _ = sentences(raw, offsets)
-        quiet = -np.logaddexp(0, self.sentence_logits(features, first))  # log(1 - p) of each sentence
-        total = np.bincount(doc, weights=quiet, minlength=len(offsets) - 1) if len(first) else np.zeros(len(offsets) - 1)
-        return 1 - (1 - FLOOR) * np.exp(total)
+    def score(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's score, and the bytes [start, end) of its worst sentence, the first of equals; -1 without a sentence that tells."""
+        features, first, doc, w = sentences(raw, offsets)
+        n = len(offsets) - 1
+        start, end = np.full(n, -1), np.full(n, -1)
+        if not len(first):
+            return np.full(n, FLOOR), start, end
+        logits = self.sentence_logits(features, first)
+        quiet = -np.logaddexp(0, logits)  # log(1 - p) of each sentence
+        total = np.bincount(doc, weights=quiet, minlength=n)
+        order = np.lexsort((-logits, doc))
+        worst = order[np.flatnonzero(np.concatenate([[True], doc[order][1:] != doc[order][:-1]]))]
+        worst = worst[logits[worst] > -1e9]
+        host, last = doc[worst], np.append(first, len(w.start))[worst + 1] - 1
+        start[host], end[host] = w.start[first[worst]] - offsets[host], w.end[last] - offsets[host]
+        return 1 - (1 - FLOOR) * np.exp(total), start, end
 
 
 def tells(df: np.ndarray, n: list[int], least: float) -> np.ndarray:
@@ -170,7 +181,8 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, **kw) -> DataFrame:
-    return labelled.scored(docs, model.score, threshold, **kw)
+    """Scores, and the byte span of the sentence that carries most of each; null where no sentence tells."""
+    return labelled.scored(docs, model.score, threshold, more=("span_start", "span_end"), **kw)
 
 
 def op10_toxicity(spark, sf_dir):

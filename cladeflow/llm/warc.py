@@ -3,8 +3,8 @@ and selected records are read by byte ranges of neighbours joined together.
 
 Defined results: a null payload is an empty one, a null URL an empty header; of records with equal payloads
 of at least `least` bytes the one with the smallest id is a response and the others revisit it; repeated rows
-with one id: all copies of the first id are responses; null ids sort last and are never the first unless
-no other has that payload; an empty table writes no archive; other columns are ignored.
+with one id: all copies of the first id are responses; rows with a null id revisit a payload that a row with an id has,
+and are responses else; an empty table writes no archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,18 +72,23 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     # Only ids and digests meet; a payload that a third of the pages share is one row per task before the shuffle.
     keys = materialize(rows.select("page_id", F.sha1(F.encode("html", "utf-8")).alias("sha"), F.octet_length("html").alias("size")), "digests")
     firsts = keys.where(F.col("size") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # An id can come again with another payload, so the pair of both decides.
-    pair = keys.join(firsts, "sha").where("page_id <> first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
+    # The pages of a common payload are dealt by salt, and its one row to every salt. An id can come again with another
+    # payload, so the pair of both decides.
+    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    firsts = firsts.where("first is not null").select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
+    pair = salted.join(firsts, ["sha", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    pair = pair.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("first").alias("refers_to")).distinct()
     joined = rows.withColumn("sha", F.sha1(F.encode("html", "utf-8")))
-    joined = joined.join(pair, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
+    joined = joined.join(pair, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        held, size, out, path = [], 0, [], f"{folder}/{uuid.uuid4().hex}.warc.gz"
+        size, out, file = 0, [], None
 
         def close() -> pa.RecordBatch:
-            common.write_whole(path, held)
+            file.close()
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
         names = ["page_id", "url", "digest", "record_type", "refers_to", "payload_bytes", "file", "at", "length"]
@@ -94,12 +99,14 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     payload = (html or "").encode()
                     digest = sha1_base32(payload)
                     raw = _record(i, url, payload, digest, refers_to)
-                    out.append((i, url, digest, "response" if refers_to is None else "revisit", refers_to, len(payload), path, size, len(raw)))
-                    held.append(raw)
+                    if file is None:
+                        file = common.WholeFile(f"{folder}/{uuid.uuid4().hex}.warc.gz")
+                    out.append((i, url, digest, "response" if refers_to is None else "revisit", refers_to, len(payload), file.uri, size, len(raw)))
+                    file.write(raw)
                     size += len(raw)
                     if size >= file_bytes:
                         yield close()
-                        held, size, out, path = [], 0, [], f"{folder}/{uuid.uuid4().hex}.warc.gz"
+                        size, out, file = 0, [], None
         if out:
             yield close()
 
@@ -168,3 +175,11 @@ def op8_warc(spark, sf_dir):
 
     index = write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The same rows: a payload's SHA-1 in base32, five bits of it a letter.
+ORACLE = """WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT t, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (t)"""

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cladeflow.llm import common, jaccard_join, labelled, licenses, neighbours, packing, quality_classifier, quality_rules, sentence_pieces, toxicity, warc, wavelet
@@ -111,12 +112,39 @@ def test_wavelet():
 
 
 def test_packing(spark, docs):
-    rows = packing.pack_documents(docs, common.tokenizer_path("byte_bpe_50k.json"), 2, 64).toPandas()
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    rows = packing.pack_documents(docs, path, 2, 64).toPandas()
     filled = rows.groupby("sequence_id").length.sum()
     assert filled.max() <= 64 and len(filled) <= -(-rows.length.sum() // 64) + 1
     r = rows.sort_values(["sequence_id", "offset"])
     assert (r.groupby("sequence_id").length.cumsum() - r.length == r.offset).all()
     assert (rows[rows.piece > 0].length == 64).all() and set(rows.doc_id.dropna()) == set(range(len(TEXTS)))
+    own, want = Tokenizer.from_file(path), []
+    for i, t in [*enumerate(TEXTS), (5, TEXTS[5]), (-1, "a b c")]:
+        ids = np.array(own.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        at, k = 0, 0
+        while at < len(ids):
+            n = (len(ids) - 1) % 64 + 1 if k == 0 else 64
+            want.append((i, k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
+            at, k = at + n, k + 1
+    assert sorted(rows.fillna({"doc_id": -1})[["doc_id", "piece", "start", "length", "ids_crc32"]].astype(int).itertuples(index=False, name=None)) == sorted(want)
+    with pytest.raises(ValueError, match="offset"):
+        packing.pack(spark.createDataFrame([], "doc_id long, piece int, length long, ids_crc32 long, offset long"), 64)
+
+
+def test_packing_groups(spark):
+    """Many groups, copies of one row among them, over several levels: every piece has one place, no bin is too full."""
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, int(n), int(n)) for i, n in enumerate(rng.integers(1, 100, 3000))] + [(7, 0, 60, 5)] * 1000 + [(i, 0, 100, 1) for i in range(50)]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long")
+    got = packing.pack(items, 100, group_items=500).toPandas()
+    assert sorted(got[["doc_id", "piece", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(rows)
+    r = got.sort_values(["sequence_id", "offset"])
+    assert (r.groupby("sequence_id").length.cumsum() - r.length == r.offset).all() and got.groupby("sequence_id").length.sum().max() <= 100
+    counts = np.bincount([x[2] for x in rows], minlength=101)
+    assert got.sequence_id.nunique() <= 1.01 * packing.bound(counts, 100) + 5
 
 
 def test_crossover_keeps_pieces():
@@ -204,18 +232,57 @@ def test_rules(spark, docs):
     assert (got[3]["n_repeat_words"], got[2]["n_words"], got[1]["n_dup_lines"]) == (120, 0, 39)
 
 
+MIT = licenses.KNOWN["MIT"]
+LICENSED = [
+    ("Copyright (c) 2020 Someone\n" + MIT.upper().replace("SUBLICENSE", "sub-licence"), "MIT"),
+    # a notice ends with its sentence, not with its line or with an initial; wrapped lines may begin with the word
+    ("Copyright (c) 2020 J. Smith and Foo.bar, Inc. All rights reserved. " + MIT.replace("\n", " "), "MIT"),
+    ("  © X\n(c) 1999 Y.\n" + licenses.KNOWN["BSD-2-Clause"].replace("the above copyright", "the above\ncopyright"), "BSD-2-Clause"),
+    ("copyright <YEAR> <HOLDER>\n" + licenses.KNOWN["ISC"], "ISC"), ("Released under the MIT licence!", "MIT-notice"), ("Copyright 2020 Acme. " + "x y z " * 3, None),
+    ("other", None), (MIT + " and more", None), (None, None), ("...", None), ("", None), ("All rights reserved.", None), (LONG, None), (MIT, "MIT"), (MIT, "MIT"),
+]
+
+
 def test_licenses(spark):
-    mit = licenses.KNOWN["MIT"]
-    df = spark.createDataFrame([(0, "Copyright (c) 2020 Someone\n" + mit.upper().replace("SUBLICENSE", "sub-licence")), (1, "other"), (2, None), (3, "...")], "doc_id long, text string")
-    assert [(r["license_id"], r["text_digest"] is None) for r in collect(licenses.scan_licenses(df))] == [("MIT", False), (None, False), (None, True), (None, True)]
+    import duckdb
+
+    df = spark.createDataFrame([(i, t, "x", "y") for i, (t, _) in enumerate(LICENSED)], "doc_id long, text string, text_digest string, license_id string")
+    got = collect(licenses.scan_licenses(df))
+    assert [r["license_id"] for r in got] == [n for _, n in LICENSED]
+    assert [r["doc_id"] for r in got if r["text_digest"] is None] == [8, 9, 10, 11]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(LICENSED)])
+    assert [tuple(r) for r in got] == con.execute(licenses.ORACLE + " ORDER BY doc_id").fetchall()
 
 
 def test_warc(spark):
-    rows = [(3, "u", "same"), (1, "u\n", "same"), (2, None, None), (4, "v", ""), (5, "w", "é" * 100000), (5, "w", "é" * 100000)]
-    index = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch(spark, "w"))
-    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], len(r["payload"])) for r in warc.read_warc(index).collect())
-    assert got == [(1, "response", None, 4, 4), (2, "response", None, 0, 0), (3, "revisit", 1, 4, 0), (4, "revisit", 2, 0, 0), (5, "response", None, 200000, 200000), (5, "response", None, 200000, 200000)]
+    import base64
+
+    import duckdb
+
+    rows = [(3, "u", "same"), (1, "u\n", "same"), (2, None, None), (4, "v", ""), (5, "w", "é" * 100000), (5, "w", "é" * 100000), (None, "n", "same"), (None, "n", "alone"), (5, "w", "same")]
+    df = spark.createDataFrame([(*r, "x", 9) for r in rows], "page_id long, url string, html string, sha string, refers_to long")
+    index = warc.write_warc(df, scratch(spark, "w"), file_bytes=1000)
+    found = warc.read_warc(index).collect()
+    by_hand = []
+    for i, _, t in rows:
+        raw = (t or "").encode()
+        first = min((j for j, _, s in rows if (s or "") == (t or "") and j is not None), default=None)
+        own = first is None or i == first
+        by_hand.append((i, "response" if own else "revisit", None if own else first, len(raw), len(raw) if own else 0, base64.b32encode(hashlib.sha1(raw).digest()).decode()))
+    key = lambda r: (r[0] is None, *map(str, r))
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], len(r["payload"]), r["payload_digest"]) for r in found), key=key) == sorted(by_hand, key=key)
+    assert index.select("file").distinct().count() >= 1 and {r["url"] for r in index.collect()} == {"u", "u\n", None, "v", "w", "n"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    sql = con.execute(warc.ORACLE).fetchall()
+    assert sorted(((i, kind, to, n, d) for i, n, d, kind, to in sql), key=key) == sorted(((*r[:4], r[5]) for r in by_hand), key=key)
     assert list(warc.ranges([(0, 10), (10, 5), (10**7, 3)])) == [(0, 15, [(0, 10), (10, 5)]), (10**7, 10**7 + 3, [(10**7, 3)])]
+    # payloads below the least size are all responses
+    small = warc.read_warc(warc.write_warc(df, scratch(spark, "w"), least=5)).collect()
+    assert all(r["record_type"] == "response" for r in small if r["payload_bytes"] < 5) and sum(r["record_type"] == "revisit" for r in small) == 0
 
 
 def test_neighbours(spark):
@@ -248,16 +315,18 @@ def test_classifiers(spark):
     for module, score, k in ((toxicity, toxicity.score_toxicity, 2), (quality_classifier, quality_classifier.score_quality, 1)):
         got = score(d, module.train(d, y)).where("held_out and doc_id < 600").collect()
         assert np.mean([r["predicted"] == labels[r["doc_id"]][k] for r in got]) > 0.95
-    spot = toxicity.locate(d, toxicity.train(d, y)).limit(5).collect()
+    model = toxicity.train(d, y)
+    spot = toxicity.locate(d, model).limit(5).collect()
     assert spot and all("nastyword" in rows[r["doc_id"]][1].encode()[r["span_start"] : r["span_end"]].decode() for r in spot)
+    worst = {r["doc_id"]: r for r in toxicity.score_toxicity(d, model).where("predicted = 1").collect()}
+    assert worst and all("nastyword" in rows[i][1].encode()[r["span_start"] : r["span_end"]].decode() for i, r in worst.items())
+    assert toxicity.score_toxicity(d, model).where("doc_id = 600").first()["span_start"] is None
     none = toxicity.train(d, y.where("toxic = 0"))
-    assert none.score(*common.text_bytes(__import__("pyarrow").array(["x", ""]))).tolist() == pytest.approx([toxicity.FLOOR] * 2)
+    assert none.score(*common.text_bytes(pa.array(["x", ""])))[0].tolist() == pytest.approx([toxicity.FLOOR] * 2)
     assert labelled.training_rows(d, y, "toxic", 10)[0].num_rows == 20
 
 
 def test_word_vectors_read_every_row():
-    import pyarrow as pa
-
     # a late row is read whole after two million words of an early one
     late = "one two three four five"
     rows = pa.table({"id": [1, 2], "y": [0, 0], "text": ["a " * 2_000_001, late]})
@@ -360,3 +429,57 @@ def test_full_licenses(spark):
     got = collect(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [r["license_id"] for r in got] == names
     assert licenses.known_digests(spark).count() == len(licenses.KNOWN)
+
+
+def test_classifier_cases(spark):
+    """Nulls, empty and very long texts, repeated rows, other columns and no rows; without labels a constant score."""
+    schema = "doc_id long, text string, score double, c0 string, predicted int"
+    rows = [(i, t, None, "x", 7) for i, t in enumerate(TEXTS)] + [(5, TEXTS[5], 1.0, None, None), (None, "a b", None, None, None)]
+    d = spark.createDataFrame(rows, schema)
+    y = spark.createDataFrame([(i, i % 2, i % 2) for i in range(len(TEXTS))] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for module, score, empty in ((toxicity, toxicity.score_toxicity, toxicity.FLOOR), (quality_classifier, quality_classifier.score_quality, 0.5)):
+        model = module.train(d, y)
+        got = score(d, model).collect()
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] == 5}) == 1
+        assert [r["held_out"] for r in got if r["doc_id"] is not None] == [zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in got if r["doc_id"] is not None]
+        assert len({r["score"] for r in got if r["doc_id"] in (0, 1)}) == 1  # null and empty
+        assert score(d.limit(0), model).count() == 0
+        bare = module.train(d.limit(0), y)
+        assert {round(r["score"], 6) for r in score(d, bare).collect()} == {empty}
+        with pytest.raises(ValueError):
+            score(d, model, keep="predicted")
+        assert score(d, model, keep="verdict").columns == [*d.columns, "verdict"]
+
+
+def test_noisy_or():
+    """A score is one minus the product of what its sentences leave, by hand."""
+    word = common.Words(*common.text_bytes(pa.array(["bad"])), toxicity.APART).hash
+    model = toxicity.Model(word, np.array([3.0]), -1.0)
+    text = "This is bad. All fine here! bad bad"
+    score, start, end = model.score(*common.text_bytes(pa.array([text, "fine", ""])))
+    left = [1 / (1 + np.exp(x)) for x in (2.0, 5.0)]
+    assert score.tolist() == pytest.approx([1 - (1 - toxicity.FLOOR) * left[0] * left[1], toxicity.FLOOR, toxicity.FLOOR])
+    assert text[start[0] : end[0]] == "bad bad" and start[1] == end[2] == -1
+
+
+def test_cosine_range():
+    a, b = np.array([1e200, 1e200, 0]), np.array([1e-200, 0, 0])
+    assert neighbours.cosine(a, np.stack([a, b, -a])).tolist() == pytest.approx([1, 2**-0.5, -1])
+    rng = np.random.default_rng(0)
+    x, q = rng.normal(size=(50, 9)), rng.normal(size=9)
+    plain = (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
+    assert np.allclose(neighbours.cosine(q, x), plain, rtol=0, atol=2e-16)
+
+
+def test_rule_cases(spark):
+    """Very long texts, repeated rows, other columns; the query's SQL on all texts here."""
+    import duckdb
+
+    texts = [*TEXTS, LONG.replace(". ", ".\n"), "x\n" * 500, "# | $ % & < > *"]
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)] + [(-5, TEXTS[5], 2, None)], "doc_id long, text string, n_words int, kept string")
+    got = quality_rules.quality_rules(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(texts), (-5, TEXTS[5])])
+    want = con.execute(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({quality_rules.ORACLE})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
