@@ -1,56 +1,74 @@
 """A training corpus from raw documents: toxic ones go, poor ones go, one of each near-duplicate group stays, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and reads it as the
-next stage's documents. All but the last return the columns of documents. Models learn from the labels beside the
-documents; stages score every row they get.
+next stage's documents. All but the last return the columns of documents, whatever further ones there are. Models learn
+from the labels beside the documents; stages score every row they get. An empty table stays empty in every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm import common, jaccard_join, packing, quality_classifier, toxicity
 from cladeflow.runtime import materialize, table
 
 
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; null and empty texts stay here."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, keep=True).where("_predicted = 0").select(*docs.columns)
+    """Documents that the toxicity model rejects go; null and empty texts stay here. Rows that repeat stay or go alike."""
+    model, verdict = toxicity.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "_toxic")
+    return toxicity.score_toxicity(docs, model, keep=verdict).where(F.col(verdict) == 0).select(*own_columns(docs))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score_quality(docs, model, keep=True).where("_predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier rejects go; null and empty texts have the score of a text without words. Rows
+    that repeat stay or go alike."""
+    model, verdict = quality_classifier.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "_good")
+    return quality_classifier.score_quality(docs, model, keep=verdict).where(F.col(verdict) == 1).select(*own_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 of five-word shingles the one with the smallest id stays.
-
-    Documents without words are no copies of each other; of rows that repeat an id, one stays."""
-    found = jaccard_join.jaccard_components(docs, k=5, num=80, den=100)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    few = gone.count() <= jaccard_join.BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    n = again.count()
-    if not n:
-        return kept
-    again = F.broadcast(again) if n <= jaccard_join.BROADCAST_ROWS else again
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))
+    """Of documents linked by a Jaccard similarity of 0.8 of five-word shingles one stays: the smallest id, of several
+    texts with that id the one with the smallest hash.
+
+    Texts without words are no copies of each other, and rows with a null id of none: both stay. Of rows with one id and
+    one text, one stays."""
+    found = materialize(jaccard_join.jaccard_components(docs, k=5, num=80, den=100, groups=True).where("doc_id is not null").select("doc_id", "text_hash", "group"), "groups")
+    row = F.struct("doc_id", "text_hash")
+    first = found.where("group is not null").groupBy("group").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first <> last").select("group", "first")
+    gone = materialize(found.join(first, "group").where(row != F.col("first")).select("doc_id", "text_hash").distinct(), "near-copies")
+    again = materialize(found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated-rows")
+    small = lambda df: F.broadcast(df) if df.count() <= jaccard_join.BROADCAST_ROWS else df
+    i, h = free_name(docs, "_id"), free_name(docs, "_hash")
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
+    named = lambda df: df.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    kept = rows.join(small(named(gone)), [i, h], "left_anti")
+    if not again.limit(1).count():
+        return kept.select(*own_columns(docs))
+    again = small(named(again))
+    once = kept.join(again, [i, h], "left_semi").dropDuplicates([i, h])
+    return kept.join(again, [i, h], "left_anti").select(*own_columns(docs)).unionAll(once.select(*own_columns(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents left, packed into sequences of 1024 tokens."""
+    """Pieces of all documents left, packed into sequences of 1024 tokens. A null or empty text is its end id alone; rows that
+    repeat are packed each."""
     return packing.pack_documents(docs, common.tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_classifier", drop_poor), ("ngram_jaccard_join", drop_near_copies), ("best_fit_packing", pack)]
 
-#: Trained models and the packing can't be stated in SQL; tests compare with brute force.
+#: Trained models and the packing can't be stated in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
