@@ -12,6 +12,7 @@ its candidates; repeated rows with one id count each; too few candidates are ret
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -178,7 +179,7 @@ def brute_force(rows: DataFrame, queries: DataFrame, k: int, most_queries: int)
 class Index:
     """The tree, each vector's leaf, and how many leaves a query visits."""
 
-    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = 0.97, sample: int = 20_000, calibrate: int = 128, leaf_rows: int = 200, branch: int = 12, seed: int = 11):
+    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = 0.95, sample: int = 20_000, calibrate: int = 128, leaf_rows: int = 200, branch: int = 12, seed: int = 11):
         spark = vectors.sparkSession
         ship(spark)
         self.k = k
@@ -190,7 +191,7 @@ class Index:
         fine = fine.where(F.size("v") == self.dim)
         x = matrix(held.column("v").filter(pa.compute.equal(held.column("v").combine_chunks().value_lengths(), self.dim))) if self.dim else np.zeros((0, 1))
         n = fine.count()
-        self.tree = tree = Tree(unit(x).astype(np.float32), min(max(1, n // leaf_rows), max(1, len(x) // 16)), branch, seed) if len(x) else None
+        self.tree = tree = Tree(unit(x).astype(np.float32), min(max(1, n // leaf_rows), max(1, len(x) // 8)), branch, seed) if len(x) else None
 
         def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -199,8 +200,9 @@ class Index:
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=["id", "v", "leaf"])
 
         self.rows = materialize(fine.mapInArrow(leaf, "id long, v array<double>, leaf int"), "leaves")
-        # a number for each leaf; leaves are at most a sixteenth of the sample
+        # a number for each leaf; leaves are at most an eighth of the sample
         self.sizes = {r["leaf"]: r["n"] for r in self.rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+        self.calibrated = calibrate
         self.visits, self.recall = self._calibrate(recall, calibrate)
 
     def _calibrate(self, wanted: float, most: int) -> tuple[int, float]:
@@ -217,6 +219,21 @@ class Index:
         visits = when[min(len(when) - 1, math.ceil(wanted * len(when)) - 1)] + 1
         return visits, sum(w < visits for w in when) / len(when)
 
+    def measured(self, most: int = 256) -> tuple[float, float]:
+        """Recall against brute force for at most so many queries that calibration never saw, and the share of all rows that a
+        query's leaves hold."""
+        if not self.sizes:
+            return 1.0, 1.0
+        seen = self.rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").select("id").limit(self.calibrated)
+        queries = self.rows.join(F.broadcast(seen), "id", "left_anti").orderBy(F.xxhash64(F.lit(4), "id"), "id").select("id", "v").limit(most)
+        queries = materialize(queries, "recall-queries")
+        true = brute_force(self.rows.select("id", "v"), queries, self.k, most).select("query_id", "vec_id").distinct()
+        found = self.search(queries).select("query_id", "vec_id").distinct()
+        n = true.count()
+        total = sum(self.sizes.values())
+        read = [sum(self.sizes.get(f, 0) for f in itertools.islice(self.tree.visits(q), self.visits)) / total for q in unit(matrix(queries.toArrow().column("v")))]
+        return (true.join(found, ["query_id", "vec_id"]).count() / n if n else 1.0), (sum(read) / len(read) if read else 1.0)
+
     def search(self, queries: DataFrame, block: int = 4096) -> DataFrame:
         """The k nearest found of each query (id, v), its own id left out."""
         k, tree, visits, sizes = self.k, self.tree, self.visits, self.sizes

@@ -104,6 +104,38 @@ def test_tokens(spark, docs):
         start += len(ids)
 
 
+@pytest.mark.parametrize("top, n", [(1, 1), (2, 70_000), (300, 9000), (70_000, 40_000)])
+def test_wavelet_file(tmp_path, top, n):
+    """Access, counts and occurrences from an opened file, which reads a part of it."""
+    rng = np.random.default_rng(n)
+    x = np.minimum(rng.integers(0, top, n), rng.integers(0, top, n)).astype(np.uint32)
+    uri = f"file://{tmp_path}/a.wvm"
+    common.write_whole(uri, wavelet.Shard.build(x, np.array([3]), np.array([True]), np.array([n], np.uint32)).to_bytes())
+    s = wavelet.open_shard(uri)
+    for i in rng.integers(0, n, 20):
+        t = int(x[i])
+        at = np.flatnonzero(x == t)
+        k = int(rng.integers(0, len(at)))
+        assert s.access(int(i)) == t and s.select(t, k) == at[k] and s.rank(t, int(i)) == (at < i).sum() and s.count(t) == len(at)
+        assert s.select(t, len(at)) == -1 and s.select(t, 0) == at[0] and s.select(t, len(at) - 1) == at[-1]
+    assert s.count(1 << 20) == 0 and s.rank(-1, 5) == 0 and (wavelet.read_shard(uri).decode() == x).all()
+    with pytest.raises(IndexError):
+        s.access(n)
+
+
+def test_wavelet_reads_little():
+    x = np.random.default_rng(2).integers(0, 50_000, 3_000_000).astype(np.uint32)
+    raw = b"".join(wavelet.Shard.build(x, np.array([3]), np.array([True]), np.array([len(x)], np.uint32)).to_bytes())
+    asked = []
+
+    def read(at, size):
+        asked.append(size)
+        return raw[at : at + size]
+
+    s = wavelet.Shard.open(read)
+    assert s.access(1_234_567) == x[1_234_567] and sum(asked) < 0.3 * len(raw)
+
+
 def test_wavelet():
     x = np.random.default_rng(1).integers(0, 300, 5000).astype(np.uint32)
     s = wavelet.Shard.from_bytes(b"".join(wavelet.Shard.build(x, np.array([5, 7]), np.array([True, False]), np.array([3000, 2000], np.uint32)).to_bytes()))
@@ -298,6 +330,7 @@ def test_neighbours(spark):
         s[q] = -9
         want = np.lexsort((np.arange(600), -s))[:5]
         hits += len(set(want) & set(got[got.query_id == q].vec_id))
+    assert index.measured(100)[0] >= 0.9 and neighbours.Index(spark.createDataFrame([], "vec_id long, embedding array<double>")).search(index.rows.select("id", "v").limit(0)).count() == 0
     assert hits >= 0.9 * 60 and got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [500, 501, 502, 503, 504]
 
 
