@@ -64,7 +64,8 @@ class Shard:
             probe = raw[:BLOCK]
             small = bool(probe) and len(zlib.compress(probe, 1)) < 0.9 * len(probe)
             chunks = [raw[a : a + BLOCK] for a in range(0, len(raw), BLOCK)]
-            stored.append([zlib.compress(c, 1) if small else c for c in chunks])
+            # a chunk that doesn't shrink stays as it is, and is known by its size
+            stored.append([min(zlib.compress(c, 1), c, key=lambda x: (len(x), x is not c)) if small else c for c in chunks])
         head = json.dumps({"n": self.n, "docs": len(self.ids), "zeros": self.zeros, "side": len(side), "planes": [[len(c) for c in x] for x in stored]}).encode()
         yield MAGIC + struct.pack("<I", len(head)) + head
         yield side

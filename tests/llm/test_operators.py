@@ -123,6 +123,17 @@ def test_wavelet_file(tmp_path, top, n):
         s.access(n)
 
 
+def test_wavelet_mixed_chunks(monkeypatch):
+    """Chunks that shrink beside chunks that don't, or by chance keep their size."""
+    monkeypatch.setattr(wavelet, "BLOCK", 64)
+    monkeypatch.setattr(wavelet, "RANK_BITS", 64)
+    rng = np.random.default_rng(4)
+    for n in (520, 4000, 9001):
+        x = np.concatenate([np.zeros(n, np.uint32), rng.integers(0, 1 << 12, n).astype(np.uint32), np.repeat(rng.integers(0, 99, n // 9), 9).astype(np.uint32)])
+        s = wavelet.Shard.from_bytes(b"".join(wavelet.Shard.build(x, np.array([3]), np.array([True]), np.array([len(x)], np.uint32)).to_bytes()))
+        assert (s.decode() == x).all() and all(s.access(int(i)) == x[i] for i in rng.integers(0, len(x), 30))
+
+
 def test_wavelet_reads_little():
     x = np.random.default_rng(2).integers(0, 50_000, 3_000_000).astype(np.uint32)
     raw = b"".join(wavelet.Shard.build(x, np.array([3]), np.array([True]), np.array([len(x)], np.uint32)).to_bytes())
