@@ -27,6 +27,7 @@ from cladeflow.llm import common
 from cladeflow.runtime import ship
 
 MARK = "▁"
+MARK_BYTES = MARK.encode()
 
 
 class CharMap:
@@ -57,8 +58,9 @@ class CharMap:
         return found
 
 
-#: A segment's ids, the same as text, what they decode to, its pieces' places (start, end: 32-bit) in its source, its size there.
-Word = tuple[tuple[int, ...], str, bytes, bytes, int]
+#: A segment's ids, the same as text, what they decode to, and of each id, as 32-bit numbers, how far its span ends behind the
+#: span before, and the span's size in the source.
+Word = tuple[tuple[int, ...], str, bytes, bytes]
 
 
 class Encoder:
@@ -88,6 +90,8 @@ class Encoder:
             self.byte = {}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
         self.raw_byte = [k == 6 for k in kinds]
+        self.step_of = [struct.pack("<2i", len(x), len(x)) for x in self.bytes_of]
+        self.text_of = [str(i) for i in range(len(self.pieces))]
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece spans words")
         self.eos = self.pieces.index("</s>")
@@ -198,35 +202,37 @@ class Encoder:
         """A segment of a text whose marks are all escaped spaces: a mark is one byte there."""
         got = self.cache.get(word)
         if got is None:
-            ids: list[int] = []
-            spans: list[int] = []
-            raw = word.encode()
-            marks = np.cumsum(np.frombuffer(raw.replace(MARK.encode(), b"\0\1\2"), np.uint8) == 2) if MARK in word else None
-            for some, a, b in self.pieces_in(word):
-                ids += some
-                if marks is not None:
-                    a, b = a - 2 * int(marks[a - 1]) if a else 0, b - 2 * int(marks[b - 1])
-                spans += (a, b) * len(some)
-            size = len(raw) - (2 * int(marks[-1]) if marks is not None else 0)
-            got = tuple(ids), " ".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids), np.array(spans, "<i4").tobytes(), size
+            ids = list(map(self.id.get, self.merge(word) if len(word) <= 40 else self.merge_long(word)))
+            if None not in ids:
+                spans = b"".join([self.step_of[i] for i in ids])
+            else:
+                ids, steps, raw = [], [], word.encode()
+                for some, a, b in self.pieces_in(word):
+                    n = b - a - 2 * raw.count(MARK_BYTES, a, b)
+                    ids += some
+                    steps += [n, n] + [0, n] * (len(some) - 1)
+                spans = struct.pack(f"<{len(steps)}i", *steps)
+            got = tuple(ids), " ".join([self.text_of[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]), spans
             if len(self.cache) < self.most and len(word) <= 64:
                 self.cache[word] = got
         return got
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.segment.findall(self.normalise(text)[0]) for i in self.word(w)[0]] + [self.eos]
+        return [i for w in self.aligned(text)[0] for i in w[0]] + [self.eos]
 
     def aligned(self, text: str) -> tuple[list[Word], np.ndarray]:
         """The segments of a text, and of each piece and the end id the source bytes [start, end) it stands for."""
         normal, where = self.normalise(text)
-        words = [self.word(w) for w in self.segment.findall(normal)]
+        known = self.cache.get
+        words = [known(w) or self.word(w) for w in self.segment.findall(normal)]
         size = len(text.encode())
-        count = np.array([len(w[0]) for w in words], np.int64)
-        spans = np.frombuffer(b"".join([w[3] for w in words]), "<i4").reshape(-1, 2)
+        steps = np.frombuffer(b"".join([w[3] for w in words]), "<i4").reshape(-1, 2)
+        spans = np.empty((len(steps) + 1, 2), np.int64)
         if where is None and MARK not in text:
-            sizes = np.array([w[4] for w in words], np.int64)
-            spans = spans + np.repeat(np.cumsum(sizes) - sizes - self.dummy, count)[:, None]
-            spans = np.maximum(spans, 0)  # the mark before the text stands for nothing
+            np.cumsum(steps[:, 0], out=spans[:-1, 1])
+            spans[:-1, 1] -= self.dummy  # the mark before the text stands for nothing
+            np.subtract(spans[:-1, 1], steps[:, 1], out=spans[:-1, 0])
+            np.maximum(spans, 0, out=spans)
         elif normal:
             if where is None:
                 where = [0] * (3 * self.dummy)
@@ -242,8 +248,9 @@ class Encoder:
                 for some, a, b in self.pieces_in(w):
                     places += [(at + a, at + b)] * len(some)
                 at += len(w.encode())
-            spans = np.array(where, np.int64)[np.array(places, np.int64)]
-        return words, np.concatenate([spans.astype(np.int64).reshape(-1, 2), [[size, size]]])
+            spans[:-1] = np.array(where, np.int64)[np.array(places, np.int64)]
+        spans[-1] = size
+        return words, spans
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """Each piece's id and the source bytes [start, end) it stands for; the end id's span is empty."""
