@@ -24,6 +24,6 @@ def queries():
 
 
 def oracle_sql():
-    from cladeflow.llm import licenses, quality_rules, warc
+    from cladeflow.llm import jaccard_join, licenses, quality_rules, warc
 
-    return {"op4_quality_rules": quality_rules.ORACLE, "op7_license_scan": licenses.ORACLE, "op8_warc": warc.ORACLE}
+    return {"op1_ngram_jaccard": jaccard_join.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op7_license_scan": licenses.ORACLE, "op8_warc": warc.ORACLE}

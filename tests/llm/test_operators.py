@@ -527,3 +527,47 @@ def test_rule_cases(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(texts), (-5, TEXTS[5])])
     want = con.execute(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({quality_rules.ORACLE})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_neighbour_cases(spark):
+    """Repeated rows, equal vectors, another dimension, null ids and components, other columns of clashing names; few rows."""
+    rows = [(0, [1.0, 0.0], 9, "x"), (1, [1.0, 0.0], 9, "x"), (1, [1.0, 0.0], 9, "x"), (2, [2.0, 0.0], 9, None), (3, [0.0, 1.0], 9, "x"), (4, [1.0], 9, "x"), (None, [1.0, 1.0], 9, "x"), (5, [None, 1.0], 9, "x"), (6, [], 9, "x"), (7, [float("inf"), 1.0], 9, "x"), (8, [1e200, -1e200], 9, "x")]
+    index = neighbours.Index(spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf int, id string"))
+    got = index.search(index.rows.where("id in (0, 8)").select("id", "v")).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 1), (0, 2, 1), (0, 3, 2), (0, 4, 8), (0, 5, 3), (8, 1, 0), (8, 2, 1), (8, 3, 1), (8, 4, 2), (8, 5, 3)]
+    assert [r["score"] for r in got][:5] == pytest.approx([1, 1, 1, 2**-0.5, 0])
+
+
+def test_token_cases(spark):
+    """Repeated rows and null ids keep their places by id, then text; a shard holds one document at least."""
+    rows = [(2, "b b", 1), (None, "n", 2), (1, "a", 3), (2, "a", 4), (2, "b b", 5), (None, None, 6)]
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    d = spark.createDataFrame(rows, "doc_id long, text string, start long")
+    meta = wavelet.write_shards(d, scratch(spark, "t"), path, 2, shard_tokens=1)
+    got = wavelet.read_shards(meta).orderBy("start").collect()
+    ids = [common.byte_bpe(path).one(t).size + 1 for t in ("", "n", "a", "a", "b b", "b b")]
+    assert meta.count() == 6 and [(r["doc_id"], r["n_tokens"]) for r in got] == list(zip([None, None, 1, 2, 2, 2], ids, strict=True))
+    assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum(ids)[:-1]]).tolist()
+
+
+@pytest.mark.parametrize("op", ["neighbours", "warc"])
+def test_more_empty_tables(spark, op):
+    if op == "warc":
+        assert warc.read_warc(warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), scratch(spark, "w"))).count() == 0
+    else:
+        index = neighbours.Index(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+        assert index.search(index.rows.select("id", "v")).count() == 0 and index.measured() == (1.0, 1.0)
+
+
+def test_jaccard_sql(spark):
+    """The query's SQL on awkward texts."""
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 50, 80))
+    texts = [*TEXTS[:-4], *(base.replace("w7", f"x{i % 3}", i % 4) for i in range(12)), base.upper()]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90, 100, links=True)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert [tuple(r) for r in collect(got)] == con.execute(jaccard_join.ORACLE + " ORDER BY doc_id").fetchall()
