@@ -24,17 +24,24 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def larger_files(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """What is left of a read table, in a quarter of its partitions, but two tasks a core: filtering makes files small, and
+    each costs a shared store several requests."""
+    n = docs.rdd.getNumPartitions()
+    return out.coalesce(min(n, max(2 * docs.sparkSession.sparkContext.defaultParallelism, n // 4)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; null and empty texts stay here. Rows that repeat stay or go alike."""
     model, verdict = toxicity.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "_toxic")
-    return toxicity.score_toxicity(docs, model, keep=verdict).where(F.col(verdict) == 0).select(*own_columns(docs))
+    return larger_files(docs, toxicity.score_toxicity(docs, model, keep=verdict).where(F.col(verdict) == 0).select(*own_columns(docs)))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; null and empty texts have the score of a text without words. Rows
     that repeat stay or go alike."""
     model, verdict = quality_classifier.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "_good")
-    return quality_classifier.score_quality(docs, model, keep=verdict).where(F.col(verdict) == 1).select(*own_columns(docs))
+    return larger_files(docs, quality_classifier.score_quality(docs, model, keep=verdict).where(F.col(verdict) == 1).select(*own_columns(docs)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
