@@ -234,6 +234,11 @@ def partnered(t: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int,
     return np.repeat(other > 0, np.diff(sums))
 
 
+def fewer(df: DataFrame, parts: int) -> DataFrame:
+    """Small results of so many partitions in a quarter of the files, but two a core: a file costs a shared store several requests."""
+    return df.coalesce(min(parts, max(2 * df.sparkSession.sparkContext.defaultParallelism, parts // 4)))
+
+
 ANSWERS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("part", pa.int32())])
 
 
@@ -280,7 +285,7 @@ def matched(entries: DataFrame, num: int, den: int, part_entries: int) -> DataFr
 
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.select("token", "n", "pos", "sid").repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "sid")
-    return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int, part int")
+    return fewer(dealt.mapInArrow(run, "a long, b long, token long, n int, pos int, part int"), parts)
 
 
 def grouped(pos, n, bits, label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -586,7 +591,8 @@ def exact_links(apart_: DataFrame, num: int, den: int) -> DataFrame:
     dealt = dealt.select("comp", "sid", "n", "copies", "pivot_n", "extra", "lacking", "block", other)
     keys = ["comp", "x", "y"]
     dealt = dealt.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sid", "n", "copies", "pivot_n", "extra", "lacking")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "block", "sid")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "block", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, begins in runs(batches, keys, least=2000):
@@ -602,7 +608,7 @@ def exact_links(apart_: DataFrame, num: int, den: int) -> DataFrame:
                 elif len(blocks) == 2:
                     yield counted(*blocks, num, den)
 
-    return dealt.mapInArrow(run, "sid long, more long, least long")
+    return fewer(dealt.mapInArrow(run, "sid long, more long, least long"), parts)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False, part_entries: int = PART_ENTRIES, groups: bool = False) -> DataFrame:
