@@ -76,9 +76,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a written table in the shared folder: it outlives any executor."""
+def fewer_files(df: DataFrame, parts: int) -> DataFrame:
+    """Of so many partitions an eighth, but two a core: each file costs a shared store several requests.
+
+    For what streams through a task, or is freed as it is read; a plain sort holds its memory to the task's end."""
+    return df.coalesce(max(1, min(parts, max(2 * df.sparkSession.sparkContext.defaultParallelism, parts // 8))))
+
+
+def materialize(df: DataFrame, name: str, shuffled: bool = False) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder: it outlives any executor. What comes from a shuffle and is
+    small for its partitions is written to fewer files."""
     path = scratch(df.sparkSession, name)
+    if shuffled:
+        df = fewer_files(df, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # nothing looks for the marker file of a table that is read at once, by its schema
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
