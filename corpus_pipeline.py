@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm import common, jaccard_join, packing, quality_classifier, toxicity
-from cladeflow.runtime import materialize, table
+from cladeflow.runtime import fewer_files, materialize, table
 
 
 def own_columns(docs: DataFrame) -> list[Column]:
@@ -25,10 +25,8 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 
 def larger_files(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """What is left of a read table, in a quarter of its partitions, but two tasks a core: filtering makes files small, and
-    each costs a shared store several requests."""
-    n = docs.rdd.getNumPartitions()
-    return out.coalesce(min(n, max(2 * docs.sparkSession.sparkContext.defaultParallelism, n // 4)))
+    """What is left of a read table, in fewer files than the table's partitions: filtering makes them small."""
+    return fewer_files(out, docs.rdd.getNumPartitions())
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,18 +48,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are no copies of each other, and rows with a null id of none: both stay. Of rows with one id and
     one text, one stays."""
-    found = materialize(jaccard_join.jaccard_components(docs, k=5, num=80, den=100, groups=True).where("doc_id is not null").select("doc_id", "text_hash", "group"), "groups")
+    found = materialize(jaccard_join.jaccard_components(docs, k=5, num=80, den=100, groups=True).where("doc_id is not null").select("doc_id", "text_hash", "group"), "groups", shuffled=True)
     row = F.struct("doc_id", "text_hash")
     first = found.where("group is not null").groupBy("group").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first <> last").select("group", "first")
-    gone = materialize(found.join(first, "group").where(row != F.col("first")).select("doc_id", "text_hash").distinct(), "near-copies")
-    again = materialize(found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated-rows")
+    gone = materialize(found.join(first, "group").where(row != F.col("first")).select("doc_id", "text_hash").distinct(), "near-copies", shuffled=True)
+    again = materialize(found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated-rows", shuffled=True)
     small = lambda df: F.broadcast(df) if df.count() <= jaccard_join.BROADCAST_ROWS else df
     i, h = free_name(docs, "_id"), free_name(docs, "_hash")
     rows = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
     named = lambda df: df.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
     kept = rows.join(small(named(gone)), [i, h], "left_anti")
     if not again.limit(1).count():
-        return kept.select(*own_columns(docs))
+        return larger_files(docs, kept.select(*own_columns(docs)))
     again = small(named(again))
     once = kept.join(again, [i, h], "left_semi").dropDuplicates([i, h])
     return kept.join(again, [i, h], "left_anti").select(*own_columns(docs)).unionAll(once.select(*own_columns(docs)))
