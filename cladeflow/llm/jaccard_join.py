@@ -234,11 +234,6 @@ def partnered(t: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int,
     return np.repeat(other > 0, np.diff(sums))
 
 
-def fewer(df: DataFrame, parts: int) -> DataFrame:
-    """Small results of so many partitions in a quarter of the files, but two a core: a file costs a shared store several requests."""
-    return df.coalesce(min(parts, max(2 * df.sparkSession.sparkContext.defaultParallelism, parts // 4)))
-
-
 ANSWERS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("part", pa.int32())])
 
 
@@ -285,7 +280,7 @@ def matched(entries: DataFrame, num: int, den: int, part_entries: int) -> DataFr
 
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.select("token", "n", "pos", "sid").repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "sid")
-    return fewer(dealt.mapInArrow(run, "a long, b long, token long, n int, pos int, part int"), parts)
+    return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int, part int")
 
 
 def grouped(pos, n, bits, label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -414,11 +409,11 @@ def components(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame | No
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     while (n := edges.count()) > task_edges:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "joined")
+        to = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "joined", shuffled=True)
         maps.append(to)
         of_u = edges.join(to, "u").select(F.col("m").alias("mu"), "v")
         of_v = of_u.join(to.select(F.col("u").alias("v"), F.col("m").alias("mv")), "v")
-        edges = materialize(of_v.where("mu <> mv").select(F.col("mu").alias("u"), F.col("mv").alias("v")).distinct(), "edges")
+        edges = materialize(of_v.where("mu <> mv").select(F.col("mu").alias("u"), F.col("mv").alias("v")).distinct(), "edges", shuffled=True)
     if n:
         maps.append(joined_in_task(edges))
     if not maps:
@@ -426,7 +421,7 @@ def components(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame | No
     out = maps[0].select(F.col("u").alias("sid"), F.col("m").alias("comp"))
     for to in maps[1:]:
         out = out.join(to.withColumnRenamed("u", "comp"), "comp", "left").select("sid", F.coalesce("m", "comp").alias("comp"))
-    return materialize(out, "components")
+    return materialize(out, "components", shuffled=True)
 
 
 def candidate_groups(signed: DataFrame, sets: DataFrame, num: int, den: int, part_entries: int = PART_ENTRIES) -> DataFrame | None:
@@ -440,7 +435,7 @@ def candidate_groups(signed: DataFrame, sets: DataFrame, num: int, den: int, par
     more = entries.where("part > 0").join(several, "token").select("*", other)
     more = more.select("token", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "n", "pos", "sid")
     lists = one.unionAll(more).join(sets.select("sid", "bits"), "sid")
-    return components(materialize(edges.unionAll(list_edges(lists, num, den)).distinct(), "edges"))
+    return components(materialize(edges.unionAll(list_edges(lists, num, den)).distinct(), "edges", shuffled=True))
 
 
 DIFFERENCES = "comp long, sid long, n int, copies long, pivot_n int, weight long, extra binary, lacking binary"
@@ -483,7 +478,7 @@ def differences(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
 
     both = texts.join(pivots, "comp").select("comp", "sid", "copies", "text", "pivot")
     # rows that repeat an id repeat its set
-    return materialize(both.mapInArrow(differ, DIFFERENCES).dropDuplicates(["sid"]), "differences")
+    return materialize(both.mapInArrow(differ, DIFFERENCES).dropDuplicates(["sid"]), "differences", shuffled=True)
 
 
 Side = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -583,7 +578,7 @@ def exact_links(apart_: DataFrame, num: int, den: int) -> DataFrame:
     spark = apart_.sparkSession
     weight = F.greatest("weight", F.lit(BLOCK_DIFFERENCES // BLOCK_SETS))
     wide = apart_.groupBy("comp").agg(F.ceil(F.sum(weight) / BLOCK_DIFFERENCES).cast("int").alias("blocks")).where("blocks > 1")
-    wide = materialize(wide, "wide-groups")
+    wide = materialize(wide, "wide-groups", shuffled=True)
     if wide.count() <= BROADCAST_ROWS:
         wide = F.broadcast(wide)
     dealt = apart_.join(wide, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
@@ -608,7 +603,7 @@ def exact_links(apart_: DataFrame, num: int, den: int) -> DataFrame:
                 elif len(blocks) == 2:
                     yield counted(*blocks, num, den)
 
-    return fewer(dealt.mapInArrow(run, "sid long, more long, least long"), parts)
+    return dealt.mapInArrow(run, "sid long, more long, least long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False, part_entries: int = PART_ENTRIES, groups: bool = False) -> DataFrame:
@@ -623,13 +618,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     signed = materialize(signatures(rows, k, num, den, common_shingles(rows, k, tail)), "signatures")
     own = signed.where("pos < 0").select("doc_id", "sid", "n", "bits", F.col("token").alias("text_hash"))
-    sets = materialize(own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    sets = materialize(own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets", shuffled=True)
     few = sets.select("sid", "rep", "copies")
     candidates = candidate_groups(signed, sets, num, den, part_entries)
     comp = None
     if candidates is not None:
-        members = materialize(few.join(candidates, "sid"), "members")
-        found = materialize(exact_links(differences(rows, members, k), num, den), "links")
+        members = materialize(few.join(candidates, "sid"), "members", shuffled=True)
+        found = materialize(exact_links(differences(rows, members, k), num, den), "links", shuffled=True)
         comp = components(found.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
         if links:
             few = few.join(found.groupBy("sid").agg(F.sum("more").alias("more")), "sid", "left")
@@ -641,7 +636,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         few = few.withColumn("component_id", F.col("rep")).withColumn("comp", F.col("sid"))
     if links:
         few = few.withColumn("n_links", F.col("copies") - 1 + (F.coalesce("more", F.lit(0)) if candidates is not None else F.lit(0)))
-    few = materialize(few.where("copies > 1 or component_id <> rep or comp <> sid" + (" or n_links > 0" if links else "")).select("sid", "component_id", "comp", *(["n_links"] if links else [])), "named")
+    few = materialize(few.where("copies > 1 or component_id <> rep or comp <> sid" + (" or n_links > 0" if links else "")).select("sid", "component_id", "comp", *(["n_links"] if links else [])), "named", shuffled=True)
     # a set that a third of the rows share: its rows are dealt by salt, and the sets' small side to every salt
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -216,7 +216,7 @@ def pack(items: DataFrame, capacity: int, group_items: int = 32768, islands: int
         # an island a task, up to a bound that grows with the cluster
         tasks = min(groups * islands, max(islands, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         dealt = lambda df: df.repartition(tasks, "group", "island")
-        counts = materialize(keyed.groupBy(F.col("_group").alias("group"), "length").agg(F.count("*").alias("n")), "pack-counts")
+        counts = materialize(keyed.groupBy(F.col("_group").alias("group"), "length").agg(F.count("*").alias("n")), "pack-counts", shuffled=True)
         wide = counts.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("island", F.col("island").cast("int"))
         best = materialize(dealt(wide).groupBy("group", "island").applyInArrow(first, elites), "pack-elites")
         for epoch in range(1, epochs):
@@ -242,7 +242,7 @@ def pack(items: DataFrame, capacity: int, group_items: int = 32768, islands: int
 
         schema = f"{', '.join(f'{c} {t}' for c, t in items.dtypes)}, _group int, _bin long, offset long"
         # the same materialised pieces give the same groups and, sorted, the same places
-        placed = materialize(keyed.groupBy("_group").cogroup(won.withColumnRenamed("group", "_group").groupBy("_group")).applyInArrow(place, schema), "packed")
+        placed = materialize(keyed.groupBy("_group").cogroup(won.withColumnRenamed("group", "_group").groupBy("_group")).applyInArrow(place, schema), "packed", shuffled=True)
         done.append(placed.where("_bin >= 0").select(*names, F.lit(level).alias("_level"), F.col("_group").cast("long"), "_bin", "offset"))
         left = placed.where("_bin < 0").select(*names)
         size = 0 if last else left.count()
