@@ -21,27 +21,21 @@ class Taxonomy:
 
     @classmethod
     def build(cls, edges: DataFrame, ranks: tuple[str, ...] = RANKS, root: str = "1") -> Taxonomy:
-        """From (taxid, parent_taxid, rank, name): one join per level, a written table each; orphans drop out."""
-        e = edges.select("taxid", "parent_taxid", "rank", "name")
-        step = e.where(F.col("taxid") == root).select(
-            "taxid", F.lit(None).cast("string").alias("parent_taxid"), "rank", "name",
-            F.array("taxid").alias("lineage"), F.array("rank").alias("ranks"), F.array("name").alias("names"),
-        )
-        kids = e.where("taxid <> parent_taxid")
-        levels = []
+        """From (taxid, parent_taxid, rank, name): every node holds a part of its path and the node above that part, and takes
+        over that node's part, so paths double with each join; orphans and cycles drop out."""
+        e = edges.where((F.col("taxid") == root) | (F.col("taxid") != F.col("parent_taxid")))
+        above = F.when(F.col("taxid") != root, F.col("parent_taxid"))
+        parts = {"lineage": "taxid", "ranks": "rank", "names": "name"}
+        nodes = e.select("taxid", above.alias("parent_taxid"), "rank", "name", above.alias("_up"), *(F.array(c).alias(n) for n, c in parts.items()))
         while True:
-            step = materialize(step, "taxonomy-level")
-            if not step.limit(1).count():
+            nodes = materialize(nodes, "taxonomy-paths")
+            if not nodes.where("_up is not null").limit(1).count():
                 break
-            levels.append(step)
-            up = step.select(F.col("taxid").alias("parent_taxid"), "lineage", F.col("ranks").alias("_r"), F.col("names").alias("_n"))
-            step = kids.join(up, "parent_taxid").select(
-                "taxid", "parent_taxid", "rank", "name",
-                F.concat("lineage", F.array("taxid")).alias("lineage"), F.concat("_r", F.array("rank")).alias("ranks"), F.concat("_n", F.array("name")).alias("names"),
-            )
-        nodes = levels[0]
-        for x in levels[1:]:
-            nodes = nodes.unionByName(x)
+            higher = nodes.select(F.col("taxid").alias("_up"), F.col("_up").alias("_next"), *(F.col(n).alias(f"_{n}") for n in parts))
+            longer = nodes.where("_up is not null").join(higher, "_up").select("taxid", "parent_taxid", "rank", "name", F.col("_next").alias("_up"), *(F.concat(f"_{n}", n).alias(n) for n in parts))
+            longer = longer.where("_up is null or not array_contains(lineage, _up)")
+            nodes = nodes.where("_up is null").unionByName(longer)
+        nodes = nodes.drop("_up")
         nodes = nodes.withColumns({
             "depth": F.size("lineage") - 1,
             "marked": F.col("rank").isin(*ranks),

@@ -379,3 +379,11 @@ def test_affine_scores(spark):
     # a run goes on when the gap changes sides; N matches nothing; columns of two gaps cost in DNA alone
     assert [r.d for r in got] == [8.0, 8.0 - 7.0, 2 - 7.0 - 3, 4 - 7.0, 0.0]
     assert [r.p for r in got] == [4 + 9 + 6 + 5.0, 24 - 12.0, 4 - 12.0 + 6, 13.0, 0.0]
+
+
+def test_deep_tree(spark):
+    """Long paths, orphans and a cycle."""
+    chain = [("1", "1", "no rank", "root")] + [(str(i), str(i - 1), "r", f"n{i}") for i in range(2, 75)] + [("x", "y", "r", "x"), ("z", "x", "r", "z"), ("s", "s", "r", "self"), ("c1", "c2", "r", "c"), ("c2", "c3", "r", "c"), ("c3", "c1", "r", "c"), ("c4", "c1", "r", "c")]
+    schema = "taxid string, parent_taxid string, rank string, name string"
+    got = lineages(tx.Taxonomy.build(spark.createDataFrame(chain, schema)))
+    assert set(got) == {str(i) for i in range(1, 75)} and got["74"] == [str(i) for i in range(1, 75)]
