@@ -32,6 +32,8 @@ from cladeflow.runtime import materialize, ship, table
 BROADCAST_ROWS = 300_000
 #: Most links that one task joins to components (about 30 MB); more are contracted by rounds of shuffles first.
 TASK_EDGES = 200_000
+#: Copies of a set that one salt holds at least, and the most sets that are dealt over several salts (their list is broadcast).
+SALT_ROWS, SALT_SETS = 256, 100_000
 #: Lists of so many entries at most give their pairs at once; longer ones are searched with sketches at hand.
 SHORT_LIST = 8
 #: Entries of one part of a list; the parts of a longer list meet two by two, in tasks of their own.
@@ -606,6 +608,21 @@ def exact_links(apart_: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "sid long, more long, least long")
 
 
+def dealt_rows(rows: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join by (sid, salt) that names the rows' sets. Rows of a set with more copies than a bound are dealt
+    over salts, and the set's row to each of them: all sets together get as many rows more as rows fill the bound. Rows that
+    no set can name are dealt over all partitions."""
+    total = few.agg(F.sum("copies")).first()[0] or 0
+    bound = max(SALT_ROWS, -(-total // SALT_SETS))
+    many = F.ceil(F.col("copies") / bound).cast("int")
+    # fewer than SALT_SETS sets have more copies than the bound
+    hot = few.where(F.col("copies") > bound).select("sid", many.alias("many"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.when(F.col("sid").isNull() | F.col("doc_id").isNull(), F.lit(parts)).otherwise(F.coalesce("many", F.lit(1)))
+    left = rows.join(F.broadcast(hot), "sid", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), deal).cast("int")).drop("many")
+    return left, few.withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False, part_entries: int = PART_ENTRIES, groups: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) under Jaccard >= num / den, 1/2 at least.
 
@@ -636,12 +653,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         few = few.withColumn("component_id", F.col("rep")).withColumn("comp", F.col("sid"))
     if links:
         few = few.withColumn("n_links", F.col("copies") - 1 + (F.coalesce("more", F.lit(0)) if candidates is not None else F.lit(0)))
-    few = materialize(few.where("copies > 1 or component_id <> rep or comp <> sid" + (" or n_links > 0" if links else "")).select("sid", "component_id", "comp", *(["n_links"] if links else [])), "named", shuffled=True)
-    # a set that a third of the rows share: its rows are dealt by salt, and the sets' small side to every salt
-    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = own.select("doc_id", "sid", "n", "text_hash").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    out = left.join(right, ["sid", "salt"], "left")
+    few = materialize(few.where("copies > 1 or component_id <> rep or comp <> sid" + (" or n_links > 0" if links else "")).select("sid", "component_id", "comp", "copies", *(["n_links"] if links else [])), "named", shuffled=True)
+    left, right = dealt_rows(own.select("doc_id", "sid", "n", "text_hash"), few)
+    out = left.join(right.drop("copies"), ["sid", "salt"], "left")
     n_links = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if links else []
     named_ = ["text_hash", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "sid")).alias("group")] if groups else []
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")

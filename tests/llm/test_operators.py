@@ -571,3 +571,37 @@ def test_jaccard_sql(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
     assert [tuple(r) for r in collect(got)] == con.execute(jaccard_join.ORACLE + " ORDER BY doc_id").fetchall()
+
+
+@pytest.mark.parametrize("salt_rows, salt_sets", [(256, 100_000), (7, 100_000), (7, 5)])
+def test_jaccard_names_rows_in_proportion(spark, monkeypatch, salt_rows, salt_sets):
+    """The small side of the last join doesn't grow with the number of partitions, whatever the copies."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 30)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts + texts + [texts[0] + " x"] + [texts[1]] * 80)]
+    rows += [(None, texts[1]), (None, None), (len(rows), None), (len(rows) + 1, ""), (3, "a b c d"), (3, texts[1])]
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", salt_rows, raising=False)
+    monkeypatch.setattr(jaccard_join, "SALT_SETS", salt_sets, raising=False)
+
+    def made(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return made(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return made(plan.plan())
+        own = plan.metrics().apply("numOutputRows").value() if name.startswith("Generate") else 0
+        return own + sum(made(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, links=True)
+        got = out.collect()
+        assert 60 <= made(out._jdf.queryExecution().executedPlan()) <= 60 + len(rows) // salt_rows + 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    s = [(d, sets(t, 3)) for d, t in rows]
+    linked = [[bool(x and y) and 100 * len(x & y) >= 90 * len(x | y) and i != j and a is not None and b is not None for j, (b, y) in enumerate(s)] for i, (a, x) in enumerate(s)]
+    want = [(d, len(x), None if d is None else min([d, *(s[j][0] for j in range(len(s)) if linked[i][j])]), None if d is None else sum(linked[i])) for i, (d, x) in enumerate(s)]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=key) == sorted(want, key=key)
