@@ -529,6 +529,19 @@ def test_rule_cases(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_rules_clean_text(spark):
+    """The lines that pass are the cleaned text, and the verdict comes from it."""
+    good = ["One line of prose.", "  Another one, quoted: \u201cend.\u201d ", "\u00e9\U0001f600 t\u00eate!\r", "One line of prose."]
+    bad = ["no end", "a | b | c | d.", "Please accept cookies.", "SHOUTING IS NOT PROSE AT ALL.", "# $ % & * < > |.", "", " \t"]
+    prose = [" ".join(f"{w}{i}" for w in ("Line", "has", "words", "as", "the", "others", "have", "too")) + "." for i in range(12)]
+    texts = [None, "", " \n", "no end", "\n".join([*good, *bad]), "\n".join(x for p in zip(prose, bad * 2, strict=False) for x in p), "\n".join([*prose, "w " * 400]), "\n".join(prose)]
+    want = ["", "", "", "", "\n".join(good), "\n".join(prose), "\n".join(prose), "\n".join(prose)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["clean_text"] for i in range(len(texts))] == want
+    assert [got[i]["kept_chars"] for i in range(len(texts))] == [len(x.replace("\n", "")) for x in want]
+    assert [got[i]["kept"] for i in range(len(texts))] == [False] * 5 + [True, False, True]
+
+
 def test_neighbour_cases(spark):
     """Repeated rows, equal vectors, another dimension, null ids and components, other columns of clashing names; few rows."""
     rows = [(0, [1.0, 0.0], 9, "x"), (1, [1.0, 0.0], 9, "x"), (1, [1.0, 0.0], 9, "x"), (2, [2.0, 0.0], 9, None), (3, [0.0, 1.0], 9, "x"), (4, [1.0], 9, "x"), (None, [1.0, 1.0], 9, "x"), (5, [None, 1.0], 9, "x"), (6, [], 9, "x"), (7, [float("inf"), 1.0], 9, "x"), (8, [1e200, -1e200], 9, "x")]
