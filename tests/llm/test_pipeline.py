@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cladeflow.llm import common, packing, quality_classifier, toxicity
@@ -98,6 +99,36 @@ def test_near_copies(spark, folder):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), folder).count() == 0
 
 
+def test_near_copies_named_in_proportion(spark, folder, monkeypatch):
+    """What the stage joins to the rows to name their groups doesn't grow with the number of partitions."""
+    write, plans = corpus_pipeline.materialize, []
+
+    def told(df, name, *a, **b):
+        if name == "groups":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan())
+        return write(df, name, *a, **b)
+
+    def made(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return made(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return made(plan.plan())
+        own = plan.metrics().apply("numOutputRows").value() if name.startswith("Generate") else 0
+        return own + sum(made(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", told)
+    docs, before = docs_of(spark, folder), spark.conf.get("spark.sql.shuffle.partitions")
+    copies = docs.where("doc_id < 300").withColumn("doc_id", F.col("doc_id") + 1000)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        assert corpus_pipeline.drop_near_copies(spark, docs.where("doc_id < 400").unionAll(copies), folder).count() == 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [made(p) for p in plans] == [300]
+
+
 def test_run(spark, folder):
     """The whole: the pieces of what the stages keep, by the library's ids, gapless in sequences that are never too long."""
     from tokenizers import Tokenizer
