@@ -157,7 +157,8 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, **kw) -
 
 
 def op9_quality_classifier(spark, sf_dir):
-    from cladeflow.runtime import table
+    from cladeflow.runtime import fewer_files, table
 
     docs = table(spark, sf_dir, "documents")
-    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+    # a row of scores is small: the table's partitions would each become a tiny file
+    return fewer_files(score_quality(docs, train(docs, table(spark, sf_dir, "labels"))), docs.rdd.getNumPartitions())

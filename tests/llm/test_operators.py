@@ -618,3 +618,23 @@ def test_jaccard_names_rows_in_proportion(spark, monkeypatch, salt_rows, salt_se
     want = [(d, len(x), None if d is None else min([d, *(s[j][0] for j in range(len(s)) if linked[i][j])]), None if d is None else sum(linked[i])) for i, (d, x) in enumerate(s)]
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_classifier_files(spark, tmp_path):
+    """The query of a table in many partitions writes few files, and all rows."""
+    rows = [(i, f"{'good prose of words' if i % 2 else 'BAD ### 1234'} {i}. " * 5) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(40).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.set(k, "64k")
+        assert spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() == 40
+        quality_classifier.op9_quality_classifier(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("*.parquet"))) == 8
+    assert [(r["doc_id"], r["predicted"]) for r in out.orderBy("doc_id").collect()] == [(i, i % 2) for i in range(200)]
