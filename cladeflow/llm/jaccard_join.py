@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.llm import common
-from cladeflow.runtime import materialize, ship, table
+from cladeflow.runtime import fewer, fewer_files, materialize, ship, table
 
 #: Most rows that a broadcast side may have; beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
@@ -282,7 +282,10 @@ def matched(entries: DataFrame, num: int, den: int, part_entries: int) -> DataFr
 
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.select("token", "n", "pos", "sid").repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "sid")
-    return dealt.mapInArrow(run, "a long, b long, token long, n int, pos int, part int")
+    found = dealt.mapInArrow(run, "a long, b long, token long, n int, pos int, part int")
+    # few of the entries are left; the sorts stay as small as they were, so these go to fewer files by a shuffle
+    to = fewer(entries.sparkSession, parts)
+    return found.repartition(to) if to < parts else found
 
 
 def grouped(pos, n, bits, label: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -423,7 +426,7 @@ def components(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame | No
     out = maps[0].select(F.col("u").alias("sid"), F.col("m").alias("comp"))
     for to in maps[1:]:
         out = out.join(to.withColumnRenamed("u", "comp"), "comp", "left").select("sid", F.coalesce("m", "comp").alias("comp"))
-    return materialize(out, "components", shuffled=True)
+    return out
 
 
 def candidate_groups(signed: DataFrame, sets: DataFrame, num: int, den: int, part_entries: int = PART_ENTRIES) -> DataFrame | None:
@@ -448,7 +451,8 @@ def differences(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
 
     members holds sid, comp, rep, copies and n. The ids are broadcast if few; else both sides shuffle."""
     want = members.select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"), "comp", "copies")
-    if members.count() <= BROADCAST_ROWS:
+    streams = members.count() <= BROADCAST_ROWS
+    if streams:
         want = F.broadcast(want)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +464,8 @@ def differences(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(same) for c in ("want", "comp", "copies", "text")], names=["sid", "comp", "copies", "text"])
 
     found = docs.join(want, "doc_id").select("want", "comp", "copies", "text")
-    texts = materialize(found.mapInArrow(pick, "sid long, comp long, copies long, text string"), "texts")
+    texts = found.mapInArrow(pick, "sid long, comp long, copies long, text string")
+    texts = materialize(fewer_files(texts, docs.rdd.getNumPartitions()) if streams else texts, "texts")
     pivots = texts.where("sid = comp").select("comp", F.col("text").alias("pivot"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -580,7 +585,6 @@ def exact_links(apart_: DataFrame, num: int, den: int) -> DataFrame:
     spark = apart_.sparkSession
     weight = F.greatest("weight", F.lit(BLOCK_DIFFERENCES // BLOCK_SETS))
     wide = apart_.groupBy("comp").agg(F.ceil(F.sum(weight) / BLOCK_DIFFERENCES).cast("int").alias("blocks")).where("blocks > 1")
-    wide = materialize(wide, "wide-groups", shuffled=True)
     if wide.count() <= BROADCAST_ROWS:
         wide = F.broadcast(wide)
     dealt = apart_.join(wide, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
@@ -633,7 +637,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    signed = materialize(signatures(rows, k, num, den, common_shingles(rows, k, tail)), "signatures")
+    signed = signatures(rows, k, num, den, common_shingles(rows, k, tail))
+    signed = materialize(fewer_files(signed, rows.rdd.getNumPartitions()), "signatures")
     own = signed.where("pos < 0").select("doc_id", "sid", "n", "bits", F.col("token").alias("text_hash"))
     sets = materialize(own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets", shuffled=True)
     few = sets.select("sid", "rep", "copies")
@@ -643,6 +648,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         members = materialize(few.join(candidates, "sid"), "members", shuffled=True)
         found = materialize(exact_links(differences(rows, members, k), num, den), "links", shuffled=True)
         comp = components(found.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
+        comp = comp if comp is None else materialize(comp, "components", shuffled=True)
         if links:
             few = few.join(found.groupBy("sid").agg(F.sum("more").alias("more")), "sid", "left")
     if comp is not None:

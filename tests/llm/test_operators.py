@@ -638,3 +638,27 @@ def test_classifier_files(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert len(list((tmp_path / "out").glob("*.parquet"))) == 8
     assert [(r["doc_id"], r["predicted"]) for r in out.orderBy("doc_id").collect()] == [(i, i % 2) for i in range(200)]
+
+
+def test_jaccard_files(spark, monkeypatch):
+    """Every table of the join goes to an eighth of the partitions' files, or two a core, however many partitions there are."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(150)]
+    rows = list(enumerate(texts + [t + f" x{i} y{i % 3}" for i, t in enumerate(texts * 9)]))
+    write, files = jaccard_join.materialize, {}
+
+    def told(df, name, *a, **b):
+        out = write(df, name, *a, **b)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    docs, before = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions")
+    want = sorted(jaccard_join.jaccard_components(docs, 3, 90, 100, links=True).collect())
+    assert len({r["component_id"] for r in want}) == 150 and min(r["n_links"] for r in want) == 9
+    monkeypatch.setattr(jaccard_join, "materialize", told)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        assert sorted(jaccard_join.jaccard_components(docs.repartition(64), 3, 90, 100, links=True).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {"signatures", "answers", "texts"} <= set(files) and max(files.values()) <= 2 * spark.sparkContext.defaultParallelism
