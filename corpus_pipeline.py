@@ -52,15 +52,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     row = F.struct("doc_id", "text_hash")
     first = found.where("group is not null").groupBy("group").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first <> last").select("group", "first")
     gone = materialize(found.join(first, "group").where(row != F.col("first")).select("doc_id", "text_hash").distinct(), "near-copies", shuffled=True)
-    again = materialize(found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated-rows", shuffled=True)
+    again = found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    repeated = again.count()
     small = lambda df: F.broadcast(df) if df.count() <= jaccard_join.BROADCAST_ROWS else df
     i, h = free_name(docs, "_id"), free_name(docs, "_hash")
     rows = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
     named = lambda df: df.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
     kept = rows.join(small(named(gone)), [i, h], "left_anti")
-    if not again.limit(1).count():
+    if not repeated:
         return larger_files(docs, kept.select(*own_columns(docs)))
-    again = small(named(again))
+    again = small(named(materialize(again, "repeated-rows", shuffled=True)))
     once = kept.join(again, [i, h], "left_semi").dropDuplicates([i, h])
     return kept.join(again, [i, h], "left_anti").select(*own_columns(docs)).unionAll(once.select(*own_columns(docs)))
 

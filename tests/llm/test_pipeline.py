@@ -1,6 +1,10 @@
 """The pipeline's stages against brute force on small tables with the awkward cases."""
 
+import os
 import re
+import shutil
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -156,3 +160,26 @@ def test_empty_run(spark, folder, tmp_path):
     docs_of(spark, folder).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_start_no_programs_for_folders(folder, tmp_path):
+    """Spark's local file system starts a chmod for each folder that it makes, beside the driver's whole memory: not for the
+    tables of stage 3."""
+    (tmp_path / "bin").mkdir()
+    shim = tmp_path / "bin/chmod"
+    shim.write_text(f'#!/bin/sh\necho "$*" >> {tmp_path}/said\nexec {shutil.which("chmod")} "$@"\n')
+    shim.chmod(0o755)
+    script = f"""
+from pyspark.sql import SparkSession
+import corpus_pipeline
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+docs = spark.read.parquet("{folder}/documents.parquet")
+print("rows", corpus_pipeline.drop_near_copies(spark, docs, "{folder}").count())
+"""
+    env = os.environ | {"PATH": f"{tmp_path}/bin:{os.environ['PATH']}", "PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+    env = {k: v for k, v in env.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_ENV_LOADED"))}
+    out = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 4" in out.stdout, out.stderr[-2000:]
+    said = (tmp_path / "said").read_text().splitlines()
+    assert any("/part-" in x for x in said)  # it does for files
+    assert not [x for x in said if re.search(r"/cladeflow-[^/]+/[a-z-]+-[0-9a-f]{12}(/_temporary)?(/0)?(/_temporary)?$", x)]
