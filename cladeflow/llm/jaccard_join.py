@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.llm import common
-from cladeflow.runtime import fewer, fewer_files, materialize, ship, table
+from cladeflow.runtime import fewer, fewer_files, give_back, materialize, ship, table
 
 #: Most rows that a broadcast side may have; beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
@@ -429,9 +429,11 @@ def components(links: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame | No
     return out
 
 
-def candidate_groups(signed: DataFrame, sets: DataFrame, num: int, den: int, part_entries: int = PART_ENTRIES) -> DataFrame | None:
+def candidate_groups(signed: DataFrame, sets: DataFrame, num: int, den: int, part_entries: int = PART_ENTRIES, sparing: bool = False) -> DataFrame | None:
     """(sid, comp) of every set that may be similar to another: any two similar sets are of one group."""
     answers = materialize(matched(signed.where("pos >= 0"), num, den, part_entries), "answers")
+    if sparing:
+        give_back(signed.sparkSession)
     edges = screened(answers.where("b is not null").select("a", "b").distinct(), sets, num, den)
     entries = answers.where("b is null").select("token", "n", "pos", "part", F.col("a").alias("sid"))
     several = entries.where("part > 0").groupBy("token").agg(F.max("part").alias("parts"))
@@ -627,26 +629,34 @@ def dealt_rows(rows: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, few.withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False, part_entries: int = PART_ENTRIES, groups: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tail: int = 1 << 17, links: bool = False, part_entries: int = PART_ENTRIES, groups: bool = False, sparing: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) under Jaccard >= num / den, 1/2 at least.
 
     With links also n_links: how many other rows reach that similarity (null for a null id, 0 without shingles). With
-    groups also text_hash, by which the rows of one id differ, and group: the component's name (null without shingles or id)."""
+    groups also text_hash, by which the rows of one id differ, and group: the component's name (null without shingles or id).
+    Sparing, the executors return their heap between the steps."""
     if 2 * num < den:
         raise ValueError("sketches need a similarity of 1/2 at least")
     spark = docs.sparkSession
     ship(spark)
+    spare = (lambda: give_back(spark)) if sparing else lambda: None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     signed = signatures(rows, k, num, den, common_shingles(rows, k, tail))
     signed = materialize(fewer_files(signed, rows.rdd.getNumPartitions()), "signatures")
+    spare()
     own = signed.where("pos < 0").select("doc_id", "sid", "n", "bits", F.col("token").alias("text_hash"))
     sets = materialize(own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets", shuffled=True)
     few = sets.select("sid", "rep", "copies")
-    candidates = candidate_groups(signed, sets, num, den, part_entries)
+    spare()
+    candidates = candidate_groups(signed, sets, num, den, part_entries, sparing)
+    spare()
     comp = None
     if candidates is not None:
         members = materialize(few.join(candidates, "sid"), "members", shuffled=True)
-        found = materialize(exact_links(differences(rows, members, k), num, den), "links", shuffled=True)
+        differing = differences(rows, members, k)
+        spare()
+        found = materialize(exact_links(differing, num, den), "links", shuffled=True)
+        spare()
         comp = components(found.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")))
         comp = comp if comp is None else materialize(comp, "components", shuffled=True)
         if links:
@@ -660,6 +670,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     if links:
         few = few.withColumn("n_links", F.col("copies") - 1 + (F.coalesce("more", F.lit(0)) if candidates is not None else F.lit(0)))
     few = materialize(few.where("copies > 1 or component_id <> rep or comp <> sid" + (" or n_links > 0" if links else "")).select("sid", "component_id", "comp", "copies", *(["n_links"] if links else [])), "named", shuffled=True)
+    spare()
     left, right = dealt_rows(own.select("doc_id", "sid", "n", "text_hash"), few)
     out = left.join(right.drop("copies"), ["sid", "salt"], "left")
     n_links = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if links else []

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm import common, jaccard_join, packing, quality_classifier, toxicity
-from cladeflow.runtime import fewer_files, materialize, table
+from cladeflow.runtime import fewer_files, give_back, materialize, table
 
 
 def own_columns(docs: DataFrame) -> list[Column]:
@@ -32,6 +32,7 @@ def larger_files(docs: DataFrame, out: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; null and empty texts stay here. Rows that repeat stay or go alike."""
     model, verdict = toxicity.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "_toxic")
+    give_back(spark)
     return larger_files(docs, toxicity.score_toxicity(docs, model, keep=verdict).where(F.col(verdict) == 0).select(*own_columns(docs)))
 
 
@@ -39,6 +40,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; null and empty texts have the score of a text without words. Rows
     that repeat stay or go alike."""
     model, verdict = quality_classifier.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "_good")
+    give_back(spark)
     return larger_files(docs, quality_classifier.score_quality(docs, model, keep=verdict).where(F.col(verdict) == 1).select(*own_columns(docs)))
 
 
@@ -48,7 +50,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are no copies of each other, and rows with a null id of none: both stay. Of rows with one id and
     one text, one stays."""
-    found = materialize(jaccard_join.jaccard_components(docs, k=5, num=80, den=100, groups=True).where("doc_id is not null").select("doc_id", "text_hash", "group"), "groups", shuffled=True)
+    give_back(spark)
+    found = materialize(jaccard_join.jaccard_components(docs, k=5, num=80, den=100, groups=True, sparing=True).where("doc_id is not null").select("doc_id", "text_hash", "group"), "groups", shuffled=True)
+    give_back(spark)
     row = F.struct("doc_id", "text_hash")
     first = found.where("group is not null").groupBy("group").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first <> last").select("group", "first")
     gone = materialize(found.join(first, "group").where(row != F.col("first")).select("doc_id", "text_hash").distinct(), "near-copies", shuffled=True)
@@ -69,7 +73,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents left, packed into sequences of 1024 tokens. A null or empty text is its end id alone; rows that
     repeat are packed each."""
-    return packing.pack_documents(docs, common.tokenizer_path("byte_bpe_50k.json"))
+    give_back(spark)
+    out = packing.pack_documents(docs, common.tokenizer_path("byte_bpe_50k.json"))
+    give_back(spark)
+    return out
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_classifier", drop_poor), ("ngram_jaccard_join", drop_near_copies), ("best_fit_packing", pack)]

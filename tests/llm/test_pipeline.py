@@ -183,3 +183,13 @@ print("rows", corpus_pipeline.drop_near_copies(spark, docs, "{folder}").count())
     said = (tmp_path / "said").read_text().splitlines()
     assert any("/part-" in x for x in said)  # it does for files
     assert not [x for x in said if re.search(r"/cladeflow-[^/]+/[a-z-]+-[0-9a-f]{12}(/_temporary)?(/0)?(/_temporary)?$", x)]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_return_the_heap(spark, folder, stage):
+    """What earlier steps have made of a heap isn't kept beside a stage's Python workers: each has it collected as a whole."""
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if re.search("Old|MarkSweep", b.getName())]
+    whole = lambda: sum(b.getCollectionCount() for b in beans)
+    before = whole()
+    stage(spark, docs_of(spark, folder), folder)
+    assert beans and whole() > before
