@@ -216,6 +216,44 @@ def test_protein_alignment():
         assert rpa.align_protein(a, b) == pytest.approx(plain(a, b))
 
 
+@pytest.mark.parametrize("alphabet", ["ACGTN", rpa.RESIDUES + "BX"])
+def test_many_alignments(alphabet):
+    """Pairs aligned at once against one by one: empty and unequal texts, and texts of several words of bits."""
+    rng = np.random.default_rng(7)
+    text_ = lambda n: "".join(rng.choice(list(alphabet), n))
+    pairs = []
+    for n in [0, 1, 2, 40, 63, 64, 65, 127, 128, 129, 200] * 12:
+        a = text_(n)
+        k = int(rng.integers(0, n + 1))
+        pairs += [(a, a[:k] + text_(3) + a[k + 2 :]), (a, text_(int(rng.integers(0, 80))))]
+    if len(alphabet) < 9:
+        assert rpa.align_dna_pairs(pairs) == [rpa.align_dna(*p) for p in pairs]
+    else:
+        assert rpa.align_protein_pairs(pairs) == [rpa.align_protein(*p) for p in pairs]
+
+
+def test_side_by_side():
+    """Many segments of up to 40 rows together give what each gives alone, and almost all alignments are made in bulk."""
+    rng = np.random.default_rng(5)
+    text_ = lambda: "".join(rng.choice(list("ACGT"), 40))
+    base = [text_() for _ in range(3)]
+    near = lambda t: "".join(c if rng.random() > 0.1 else rng.choice(list("ACGT")) for c in t)
+    taxa = sorted(PATHS)
+    def make(align):
+        return [rpa.Placement(rows, q, 0.5, 0.05, align) for rows, q in sets]
+    sets = []
+    for n in [2, 3, 5, 9, 17, 40] * 8:
+        t = base[n % 3]
+        sets.append(([row(i, f"r{i}", int(rng.integers(80, 100)), int(rng.integers(10, 39)), 40, taxa[int(rng.integers(0, len(taxa)))], near(t)) for i in range(n)], near(t)))
+    alone = make(rpa.align_dna)
+    want = [p.run() for p in alone]
+    single = []
+    known = rpa.Known(lambda a, b: single.append(1) or rpa.align_dna(a, b))
+    together = make(lambda a, b: known[a, b])
+    assert rpa.side_by_side(together, known, rpa.align_dna_pairs) == want and [p.aligned for p in together] == [p.aligned for p in alone]
+    assert not single and len(known) > 500
+
+
 def test_place(spark, tax):
     """The distributed form against the kernel: no row, one row, equal rows, aligned rows on both strands."""
     p = tax.prune()
