@@ -316,6 +316,16 @@ def test_fasta(spark, tmp_path):
         text.strip_identifiers(spark.createDataFrame([("a b",), ("a c",)], "seq_id string")).collect()
 
 
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("name, most", [("prd_simple_lca", 1), ("prd_megan_lca", 1), ("prd_ic_megan_lca", 1), ("flt_best_per_taxon", 1), ("tax_lcc_set", 1), ("gff_encode", 1)])
+def test_dealt_once(spark, name, most):
+    """Rows are dealt by query once, from the raw alignments to the result."""
+    assert _exchanges(engine_queries.QUERIES[name](spark, SF)) <= most
+
+
 def test_maf(spark, tmp_path):
     (tmp_path / "a.maf").write_text("# x\na score=12 E=1e-3\ns ref 2 4 + 10 AC-GT\ns q 0 4 - 4 ACTG-\n\n")
     r = text.maf_to_alignments(text.read_maf(spark, str(tmp_path / "a.maf"))).first()
