@@ -320,12 +320,19 @@ def _exchanges(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
-@pytest.mark.parametrize("name, most", [("prd_simple_lca", 1), ("prd_megan_lca", 1), ("prd_ic_megan_lca", 1), ("flt_best_per_taxon", 1), ("tax_lcc_set", 1), ("gff_encode", 1)])
+@pytest.mark.parametrize("name, most", [("prd_simple_lca", 1), ("prd_megan_lca", 1), ("prd_ic_megan_lca", 1), ("flt_best_per_taxon", 1), ("tax_lcc_set", 1), ("gff_encode", 1), ("bin_consensus", 1), ("bin_constraint", 1)])
 def test_dealt_once(spark, name, most):
     """Rows are dealt by query once, from the raw alignments to the result."""
     assert _exchanges(engine_queries.QUERIES[name](spark, SF)) <= most
 
 
+def test_support_adds_up_first(spark):
+    """A row for each path goes up the tree, not a row for each segment and node."""
+    df = spark.range(1000).select(F.array(F.lit("1"), F.lit("2"), F.concat(F.lit("x"), F.col("id") % 7)).alias("lower_lineage"), F.lit(1).alias("upper_depth"), F.array(F.lit(9).cast("long"), F.lit(4).cast("long")).alias("support"))
+    assert binning.own_support(df).count() == 8
+    assert {r["taxid"]: r["support"] for r in binning.sample_support(df.where("id < 7")).collect()} == {"1": 63, "2": 63, **{f"x{i}": 4 for i in range(7)}}
+
+
 def test_maf(spark, tmp_path):
     (tmp_path / "a.maf").write_text("# x\na score=12 E=1e-3\ns ref 2 4 + 10 AC-GT\ns q 0 4 - 4 ACTG-\n\n")
     r = text.maf_to_alignments(text.read_maf(spark, str(tmp_path / "a.maf"))).first()
