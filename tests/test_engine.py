@@ -333,6 +333,15 @@ def test_support_adds_up_first(spark):
     assert {r["taxid"]: r["support"] for r in binning.sample_support(df.where("id < 7")).collect()} == {"1": 63, "2": 63, **{f"x{i}": 4 for i in range(7)}}
 
 
+def test_sparse_spans(spark):
+    """Ordinals far apart make a span of each row; what is ordered in one task stays small, and the groups are right."""
+    df = spark.range(70000).select((F.col("id") * 200000).alias("ordinal"), (F.floor(F.col("id") / 3) % 5).cast("string").alias("query_id"))
+    got = segments.segment(df, split=False, consecutive=True)
+    assert got.where("group_no <> 1 + floor(ordinal / 600000)").count() == 0 and got.count() == 70000
+    spans = df.select(F.floor(F.col("ordinal") / segments.SPAN).alias("_span"), F.col("query_id").alias("first"), F.col("query_id").alias("last"), F.lit(0).alias("changes"))
+    assert segments.span_levels(spans)[-1].count() == 1
+
+
 def test_maf(spark, tmp_path):
     (tmp_path / "a.maf").write_text("# x\na score=12 E=1e-3\ns ref 2 4 + 10 AC-GT\ns q 0 4 - 4 ACTG-\n\n")
     r = text.maf_to_alignments(text.read_maf(spark, str(tmp_path / "a.maf"))).first()
