@@ -69,10 +69,10 @@ def tax_scan(spark, sf):
 SEQS = "SELECT doc_id, 'd' || doc_id AS seq_id, coalesce(regexp_replace(translate(text, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N', 'g'), '') AS seq FROM documents"
 
 
-def _fasta(spark, sf, one_file: bool = False) -> str:
+def _fasta(spark, sf, in_order: bool = False) -> str:
     path = scratch(spark, "fasta")
     d = table(spark, sf, "documents").select("doc_id", F.expr("'d' || doc_id").alias("seq_id"), F.coalesce(fn.dna(F.col("text")), F.lit("")).alias("seq"))
-    text.write_fasta(d.coalesce(1).sortWithinPartitions("doc_id") if one_file else d, path)
+    text.write_fasta(d.repartitionByRange("doc_id").sortWithinPartitions("doc_id") if in_order else d, path)
     return path
 
 
@@ -88,9 +88,9 @@ def fasta_whitelist(spark, sf):
 
 @query(f"WITH s AS (SELECT doc_id, seq_id, length(seq) AS n, length(seq_id) + 2 AS head FROM ({SEQS})) SELECT seq_id AS name, n::INT AS length, (coalesce(sum(head + n + greatest(1, ceil(n / 60))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + head)::BIGINT AS \"offset\", least(n, 60)::INT AS line_bases, CASE WHEN n = 0 THEN 0 ELSE least(n, 60) + 1 END::INT AS line_bytes FROM s")
 def fasta_index(spark, sf):
-    """The index of one file, through its text form."""
-    path, index = _fasta(spark, sf, one_file=True), scratch(spark, "fai")
-    text.write_fai(text.build_fai(spark, path), index)
+    """The index of one file, written in parts, through its text form."""
+    path, index = _fasta(spark, sf, in_order=True), scratch(spark, "fai")
+    text.write_fai(text.build_fai(spark, path, one=path), index)
     return text.read_fai(spark, index, path).drop("file")
 
 

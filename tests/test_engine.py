@@ -342,6 +342,26 @@ def test_sparse_spans(spark):
     assert segments.span_levels(spans)[-1].count() == 1
 
 
+def test_index_of_parts(spark, tmp_path, monkeypatch):
+    """Parts in order have the index of the one file that they make, and fasta_index writes several."""
+    raw = [f">r{i}\n{'ACGT' * (i % 7)}\n" for i in range(90)]
+    (tmp_path / "one").mkdir(), (tmp_path / "parts").mkdir()
+    (tmp_path / "one" / "a.fa").write_text("".join(raw))
+    for k in range(3):
+        (tmp_path / "parts" / f"part-{k}.fa").write_text("".join(raw[30 * k : 30 * k + 30]))
+    told = lambda path, **kw: sorted(map(tuple, text.build_fai(spark, path, **kw).drop("file").collect()))
+    assert told(f"file://{tmp_path}/parts", one="x") == told(f"file://{tmp_path}/one") and len(told(f"file://{tmp_path}/parts", one="x")) == 90
+    written = []
+    keep = text.write_fasta
+    monkeypatch.setattr(text, "write_fasta", lambda df, path: (written.append(df.rdd.getNumPartitions()), keep(df, path)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        engine_queries.QUERIES["fasta_index"](spark, SF).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert written[0] > 1
+
+
 def test_maf(spark, tmp_path):
     (tmp_path / "a.maf").write_text("# x\na score=12 E=1e-3\ns ref 2 4 + 10 AC-GT\ns q 0 4 - 4 ACTG-\n\n")
     r = text.maf_to_alignments(text.read_maf(spark, str(tmp_path / "a.maf"))).first()
