@@ -29,9 +29,11 @@ def stream_operator(spark: SparkSession, folder: str, schema, operator: Callable
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_stream(spark: SparkSession, rows: DataFrame, operator: Callable[[DataFrame], DataFrame], files: int = 4) -> DataFrame:
-    """All rows as a stream to its end, a file in each batch."""
+def run_stream(spark: SparkSession, rows: DataFrame, operator: Callable[[DataFrame], DataFrame], batches: int = 4) -> DataFrame:
+    """All rows as a stream to its end, in some batches of files; there are as many files as a shuffle has partitions, so
+    that a task's file grows no faster than these let it."""
     base = scratch(spark, "stream")
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
     write_whole(rows, f"{base}/in", files)
-    stream_operator(spark, f"{base}/in", rows.schema, operator, f"{base}/out", f"{base}/check", files_per_batch=1).awaitTermination()
+    stream_operator(spark, f"{base}/in", rows.schema, operator, f"{base}/out", f"{base}/check", files_per_batch=-(-files // batches)).awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch")

@@ -373,6 +373,23 @@ def test_bioboxes_parts(spark, tmp_path):
     assert sorted(map(tuple, text.read_bioboxes(spark, str(tmp_path / "b")).collect())) == sorted(rows)
 
 
+def test_stream_files(spark, monkeypatch):
+    """As many files as a shuffle has partitions, in four batches."""
+    from cladeflow import streaming
+
+    told = {}
+    whole, start = streaming.write_whole, streaming.stream_operator
+    monkeypatch.setattr(streaming, "write_whole", lambda rows, folder, files: (told.update(files=files), whole(rows, folder, files)))
+    monkeypatch.setattr(streaming, "stream_operator", lambda *a, **kw: (told.update(kw), start(*a, **kw))[1])
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        rows = spark.range(500).select(F.col("id").alias("n"), (F.col("id") % 40).alias("query_id"))
+        assert streaming.run_stream(spark, rows, lambda df: df).count() == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert told == {"files": 10, "files_per_batch": 3}
+
+
 def test_maf(spark, tmp_path):
     (tmp_path / "a.maf").write_text("# x\na score=12 E=1e-3\ns ref 2 4 + 10 AC-GT\ns q 0 4 - 4 ACTG-\n\n")
     r = text.maf_to_alignments(text.read_maf(spark, str(tmp_path / "a.maf"))).first()
