@@ -326,6 +326,15 @@ def test_dealt_once(spark, name, most):
     assert _exchanges(engine_queries.QUERIES[name](spark, SF)) <= most
 
 
+@pytest.mark.parametrize("view", ["resolved", "predictions"])
+def test_views_are_not_written(spark, view):
+    """What the queries share comes from the raw alignments, dealt once, and not from a written table that must be dealt again."""
+    from cladeflow import fixtures
+
+    df = getattr(fixtures, view)(spark, SF)
+    assert any("lineitem.parquet" in f for f in df.inputFiles()) and _exchanges(df) == 1
+
+
 def test_support_adds_up_first(spark):
     """A row for each path goes up the tree, not a row for each segment and node."""
     df = spark.range(1000).select(F.array(F.lit("1"), F.lit("2"), F.concat(F.lit("x"), F.col("id") % 7)).alias("lower_lineage"), F.lit(1).alias("upper_depth"), F.array(F.lit(9).cast("long"), F.lit(4).cast("long")).alias("support"))
